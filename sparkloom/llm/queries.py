@@ -59,8 +59,8 @@ b as (select max(n / weight) as budget, greatest(1, ceil(max(n / weight) / 65536
 p as (select source, n, weight * budget as quota, cast(floor(weight * budget / n + 1e-9) as bigint) as passes, blocks from w, b),
 c as (select doc_id, d.source, tokens, n, quota, passes, greatest(quota - passes * n, 0) as rest, blocks, unnest(range(0, passes + 1)) as copy
       from d join p on d.source is not distinct from p.source where tokens > 0),
-a as (select *, sum(tokens) over (partition by source, copy order by md5('11:' || copy || ':' || doc_id)) as at from c where copy < passes or rest > 0),
-k as (select doc_id, source, copy, tokens, cast(least(blocks, greatest(1, ceil((copy * n + at) / quota * blocks - 1e-9))) - 1 as bigint) as block from a where copy < passes or at <= rest)
+a as (select *, sum(tokens) over (partition by source, copy order by md5('11:' || copy || ':' || doc_id)) as upto from c where copy < passes or rest > 0),
+k as (select doc_id, source, copy, tokens, cast(least(blocks, greatest(1, ceil((copy * n + upto) / quota * blocks - 1e-9))) - 1 as bigint) as block from a where copy < passes or upto <= rest)
 select doc_id, source, copy, tokens, block, row_number() over (partition by block order by md5('11:block:' || block || ':' || copy || ':' || doc_id), source, tokens) - 1 as slot from k
 """
 
