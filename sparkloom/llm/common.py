@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _written: dict[str, SparkSession] = {}
 _paths: dict[int, str] = {}
@@ -79,3 +80,8 @@ def drop_written(df: DataFrame) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def extended(schema: StructType, ddl: str) -> StructType:
+    """A schema with further fields."""
+    return StructType(schema.fields + StructType.fromDDL(ddl).fields)

@@ -7,12 +7,38 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.llm import langid, media, quality
+from sparkloom.llm.chat import format_chats
 from sparkloom.llm.common import table
 from sparkloom.llm.line_dedup import dedup_lines
 from sparkloom.llm.mixing import mixed_stream
 from sparkloom.llm.near_dedup import near_duplicates
+from sparkloom.llm.nn_descent import near_neighbours
 from sparkloom.llm.packing import pack
-from sparkloom.llm.quality import fit, score
+from sparkloom.llm.pii import find_personal_data
+
+
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chats(table(spark, sf_dir, "conversations"))
+
+
+#: For turns without markers or backslashes, as here; tests/llm cover those that need escaping.
+_OP1 = """
+select conv_id, cast(count(*) as integer) as n_turns, 0 as n_escaped,
+       string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce("text", '') || '<|im_end|>' || chr(10), '' order by turn nulls first, role, "text") as "text"
+from conversations group by conv_id
+"""
+
+
+def op2_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_neighbours(table(spark, sf_dir, "embeddings"))
+
+
+_OP2 = """
+with v as (select vec_id, cast(embedding as double[]) as e from embeddings),
+p as (select a.vec_id, b.vec_id as neighbour_id, list_cosine_similarity(a.e, b.e) as similarity from v a join v b on a.vec_id < b.vec_id)
+select vec_id, neighbour_id, round(similarity, 4) as similarity from p where similarity >= 0.9
+"""
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +51,7 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return score(docs, fit(docs, table(spark, sf_dir, "labels")))
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +70,15 @@ from x left join gone on x.doc_id = gone.doc_id and x.i = gone.i where gone.i is
 """
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(docs))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixed_stream(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "source", *[F.col(c).cast("bigint").alias(c) for c in ("copy", "tokens", "block", "slot")])
@@ -65,6 +100,11 @@ select doc_id, source, copy, tokens, block, row_number() over (partition by bloc
 """
 
 
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pictures = media.with_pictures(table(spark, sf_dir, "embeddings"))
+    return media.decode_column(pictures, "id", "jpeg").withColumnRenamed("id", "vec_id")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -72,9 +112,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op3_packing, op4_near_dedup, op5_quality, op6_line_dedup, op9_mixing, pipeline)
+    own = (op1_chat, op2_nn_descent, op3_packing, op4_near_dedup, op5_quality, op6_line_dedup, op7_pii, op8_langid, op9_mixing, op10_media, pipeline)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": _OP6, "op9_mixing": _OP9}
+    return {"op1_chat": _OP1, "op2_nn_descent": _OP2, "op6_line_dedup": _OP6, "op9_mixing": _OP9}
