@@ -63,7 +63,7 @@ def vector_stats(df: DataFrame, vector: str, keys: Sequence[str] = (), percentil
     of_entry = long.groupBy(*k, "__i").agg(F.count("__x").alias("count"), *stats)
     names = ["mean", "var", "min", "max", "nonZeros", "L1", "L2", *percentiles]
     gathered = of_entry.groupBy(*k).agg(F.max("count").alias(f"{vector}_count"), F.array_sort(F.collect_list(F.struct("__i", *names))).alias("__all"))
-    return gathered.select(*k, f"{vector}_count", *[F.transform("__all", lambda s, n=n: s[n].cast("double")).alias(f"{vector}_{n}") for n in names])
+    return gathered.select(*k, f"{vector}_count", *[F.col("__all").getField(n).cast("array<double>").alias(f"{vector}_{n}") for n in names])
 
 
 def nan_safe_means(df: DataFrame, vector: str, keys: Sequence[str] = ()) -> DataFrame:

@@ -31,6 +31,10 @@ def nominal_counts(df: DataFrame, name: str, ignore: Sequence[str] = (), replace
     return values.groupBy("value").agg(F.count("*").alias("n"))
 
 
+def _replaced(old: str, new: str):
+    return lambda v: F.when(v == old, F.lit(new)).otherwise(v)
+
+
 @dataclass
 class NominalEncoder:
     """A string or array of strings as a binary vector; null and unknown values give zeros."""
@@ -42,7 +46,7 @@ class NominalEncoder:
     def array(self, df: DataFrame) -> Column:
         own = F.coalesce(_values(df, self.column), F.array().cast("array<string>"))
         for old, new in self.replacements.items():
-            own = F.transform(own, lambda v, o=old, n=new: F.when(v == o, F.lit(n)).otherwise(v))
+            own = F.transform(own, _replaced(old, new))
         known = F.array(*[F.lit(v) for v in self.values]) if self.values else F.array().cast("array<string>")
         return F.transform(known, lambda v: F.array_contains(own, v).cast("double"))
 

@@ -195,8 +195,8 @@ def ew_series(spark: SparkSession, sf: str) -> DataFrame:
 _NOW = 1_706_745_600_000
 
 
-@query(f"""select user_id, cast(max(epoch_ms(ts)) as bigint) as t, round(sum(value * power(0.7, ({_NOW} - epoch_ms(ts)) / 172800000.0)), 4) as value,
-round(sum(power(0.7, ({_NOW} - epoch_ms(ts)) / 172800000.0)), 6) as weight from events group by 1""")
+@query(f"""select user_id, cast(max((epoch_us(ts) // 1000)) as bigint) as t, round(sum(value * power(0.7, ({_NOW} - (epoch_us(ts) // 1000)) / 172800000.0)), 4) as value,
+round(sum(power(0.7, ({_NOW} - (epoch_us(ts) // 1000)) / 172800000.0)), 6) as weight from events group by 1""")
 def time_discount(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events").select("user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("t"), F.array("value", F.lit(1.0)).alias("v"))
     out = ordered.discounted(e, ["user_id"], "t", "v", _NOW)
@@ -227,7 +227,7 @@ def nan_to_mean(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""with q as (select list_distinct(quantile_cont(o_totalprice, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1])) as s from orders)
-select o_orderkey, cast(len(list_filter(s, x -> o_totalprice >= x)) as double) as bucket from orders, q""")
+select o_orderkey, cast(len(list_filter(s, lambda x: o_totalprice >= x)) as double) as bucket from orders, q""")
 def quantile_buckets(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders")
     b = encode.QuantileBuckets({"o_totalprice": encode.exact_quantile_splits(o, "o_totalprice", 10)})
@@ -254,7 +254,7 @@ def nominal_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""with v as (select list_sort(list_distinct(list(o_orderpriority))) as vs from orders)
-select o_orderkey, array_to_string(list_transform(vs, x -> case when x = o_orderpriority then '1.0' else '0.0' end), ',') as hot, round(o_totalprice, 2) as price from orders, v""")
+select o_orderkey, array_to_string(list_transform(vs, lambda x: case when x = o_orderpriority then '1.0' else '0.0' end), ',') as hot, round(o_totalprice, 2) as price from orders, v""")
 def auto_assemble(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
     out = encode.fit_auto_assembler(o, exclude=["o_orderkey"]).transform(o)

@@ -23,13 +23,13 @@ def _quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-@query(f"select doc_id, array_to_string(list_filter(regexp_extract_all(lower(text), {_quoted(text.TOKEN)}), x -> not regexp_matches(x, {_quoted(text.URL_TOKEN)})), ' ') as words from documents")
+@query(f"select doc_id, array_to_string(list_filter(regexp_extract_all(lower(text), {_quoted(text.TOKEN)}), lambda x: not regexp_matches(x, {_quoted(text.URL_TOKEN)})), ' ') as words from documents")
 def url_free(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", text.without_urls(F.col("text")).alias("words"))
 
 
 @query(r"""with t as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as ws from documents),
-g as (select doc_id, unnest(list_concat(ws, list_transform(range(1, len(ws)), i -> ws[i] || ' ' || ws[i + 1]))) as gram from t)
+g as (select doc_id, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) as gram from t)
 select doc_id, count(*) as n, count(distinct gram) as distinct_grams, min(gram) as first, max(gram) as last from g group by 1""")
 def ngrams(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").select("doc_id", text.tokens(F.col("text")).alias("ws"))
@@ -67,7 +67,7 @@ _MATRIX = projection_matrix(64, 8, 0.5, 7)
 
 
 def _bits(v: str) -> str:
-    rows = [f"case when list_sum(list_transform(list_zip({v}, {row}), p -> p[1] * p[2])) > 0 then {1 << i} else 0 end" for i, row in enumerate(_MATRIX)]
+    rows = [f"case when list_sum(list_transform(list_zip({v}, {row}), lambda p: p[1] * p[2])) > 0 then {1 << i} else 0 end" for i, row in enumerate(_MATRIX)]
     return " + ".join(rows)
 
 
