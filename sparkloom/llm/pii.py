@@ -1,12 +1,13 @@
 """Personal data behind disguises, found with offsets in the source.
 
 Transducers rewrite a text step by step, each keeping the ranges it replaced: characters that look like
-ASCII ones become these and invisible ones vanish; runs of seven or more spelled digits become digits;
+ASCII ones become these and invisible ones vanish; runs of seven or more spelled digits, three of them different, become digits;
 "[at]", "(dot)" and "name at host dot tld" become @ and dots. Identifiers are detected in the normalised
 text, and their ranges are mapped back through the steps to characters of the source, whose spans are
 replaced by the identifier's kind.
 
-Kinds: EMAIL, SECRET, CARD (13 to 19 digits that pass Luhn's check), ACCOUNT (those that don't), IBAN, SSN,
+Kinds: SECRET with a form of its own (cloud keys, signed tokens, private keys), EMAIL, SECRET after a name or of 32 hex
+digits and more, CARD (13 to 19 digits that pass Luhn's check), ACCOUNT (those that don't, of one group of digits), IBAN, SSN,
 IP, PHONE. Spans don't overlap; an earlier kind of this list wins. A null text stays null, with no spans.
 """
 
@@ -47,7 +48,11 @@ _DOT = re.compile(r"\s+dot\s+", re.IGNORECASE)
 
 _HOST = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}")
 _SECRET = re.compile(r"(?:\b(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key)\b\s*[=:]\s*(\"[^\"\n]+\"|'[^'\n]+'|[^\s\"']{6,}))|(?<![0-9A-Za-z])([0-9a-f]{32,64})(?![0-9A-Za-z])", re.IGNORECASE)
+#: Keys and tokens of a form of their own: of cloud services and code hosts, signed web tokens, private key blocks.
+_KEY = re.compile(r"(?<![0-9A-Za-z])(?:A(?:KIA|SIA|GPA|IDA|ROA)[0-9A-Z]{16}|AIza[0-9A-Za-z_\-]{35}|gh[opsur]_[0-9A-Za-z]{36,}|xox[abprs]-[0-9A-Za-z\-]{10,}|sk[-_](?:live_|test_)?[0-9A-Za-z]{20,}|eyJ[0-9A-Za-z_\-]{10,}\.[0-9A-Za-z_\-]{10,}\.[0-9A-Za-z_\-]{10,})(?![0-9A-Za-z])|-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]*-----END [A-Z ]*PRIVATE KEY-----")
+_KEY_HINT = re.compile(r"A(?:KI|SI|GP|ID|RO)A[0-9A-Z]|AIza|gh[opsur]_|xox[abprs]-|sk[-_]|eyJ|-----BEGIN")
 _LONG = re.compile(r"(?<!\d)\d(?:[ \-]?\d){12,18}(?!\d)")
+_GROUP = re.compile(r"\d+")
 _IBAN = re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])")
 _SSN = re.compile(r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])")
 _IP = re.compile(r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)")
@@ -96,7 +101,8 @@ def normalise(text: str) -> Trace:
         trace.text = text.translate(FOLD)  # one character for one, so offsets stay
         trace.rewrite([(m.start(), m.end(), "") for m in _HIDDEN.finditer(trace.text)])
     if _TWO.search(trace.text):
-        trace.rewrite([(m.start(), m.end(), "".join(_DIGITS.get(w.lower(), w) for w in _PART.findall(m[0]))) for m in _SPELLED.finditer(trace.text)])
+        found = [(m.start(), m.end(), "".join(_DIGITS.get(w.lower(), w) for w in _PART.findall(m[0]))) for m in _SPELLED.finditer(trace.text)]
+        trace.rewrite([e for e in found if len(set(e[2])) > 2])  # a word said over and over is no number
     trace.rewrite([(m.start(), m.end(), "@" if m[1].lower() in ("at", "@") else ".") for m in _BRACED.finditer(trace.text)])
     if _DOT.search(trace.text):
         edits = []
@@ -116,7 +122,29 @@ def _luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _numbers(text: str) -> Iterator[tuple[str, int, int]]:
+    """Cards and accounts of 13 to 19 digits: whole groups of digits, as what follows a blank may be another number."""
+    for m in _LONG.finditer(text):
+        groups, at = [g.span() for g in _GROUP.finditer(text, m.start(), m.end())], 0
+        while at < len(groups):
+            for end in range(len(groups), at, -1):
+                a, b = groups[at][0], groups[end - 1][1]
+                digits = re.sub(r"\D", "", text[a:b])
+                if 13 <= len(digits) <= 19 and _luhn(digits):
+                    yield "CARD", a, b
+                    break
+                if end == at + 1 and len(digits) >= 13:
+                    yield "ACCOUNT", a, b
+                    break
+            else:
+                end = at + 1
+            at = end
+
+
 def _found(text: str, spelled: list[tuple[int, int]]) -> Iterator[tuple[str, int, int]]:
+    if _KEY_HINT.search(text):
+        for m in _KEY.finditer(text):
+            yield "SECRET", *m.span()
     at = text.find("@")
     while at >= 0:
         start = at
@@ -135,8 +163,7 @@ def _found(text: str, spelled: list[tuple[int, int]]) -> Iterator[tuple[str, int
         return
     for m in _SECRET.finditer(text):
         yield "SECRET", *m.span(1 if m[1] else 2)
-    for m in _LONG.finditer(text):
-        yield "CARD" if _luhn(re.sub(r"\D", "", m[0])) else "ACCOUNT", *m.span()
+    yield from _numbers(text)
     for m in _IBAN.finditer(text):
         yield "IBAN", *m.span()
     for m in _SSN.finditer(text):
