@@ -85,24 +85,23 @@ def sample_pairs(df: DataFrame, keys: Sequence[str], features: str, label: str,
 
     rows = df.select(*[col(k) for k in keys], as_array(df, features).alias("__x"), col(label).cast("double").alias("__y")).where("__x is not null and __y is not null")
     rows = rows.where(_unit(seed, keys) < group_rate) if group_rate < 1 else rows
-    schema = StructType([*rows.select(*[col(k) for k in keys]).schema.fields, *rows.select("__x", "__y").schema.fields])
+    schema = StructType([*rows.select(*[col(k) for k in keys]).schema.fields, *StructType.fromDDL("__x array<double>, __y double").fields])
 
     def draw(table: pa.Table) -> pa.Table:
         order = np.lexsort((np.array([zlib.crc32(np.array(x).tobytes()) for x in table["__x"].to_pylist()]), table["__y"].to_numpy()))
         table = table.take(pa.array(order))
         y = table["__y"].to_numpy() >= threshold
-        if y.all() or not y.any():
-            return table.slice(0, 0)
+        mixed = y.any() and not y.all()
         x = np.array(table["__x"].to_pylist(), dtype=float)
         rng = np.random.default_rng([seed, len(y), int(y.sum()), zlib.crc32(x.tobytes())])
-        kept = np.flatnonzero(rng.random(len(y)) < item_rate)
+        kept = np.flatnonzero((rng.random(len(y)) < item_rate) & mixed)
         paired = rng.random(len(kept)) < ranking_power
         out = x[kept]
         for i in np.flatnonzero(paired):
             others = np.flatnonzero(y != y[kept[i]])
             out[i] -= x[others[rng.integers(len(others))]]
         picked = table.take(pa.array(kept))
-        return picked.set_column(picked.column_names.index("__x"), "__x", pa.array(list(out), pa.list_(pa.float64())))
+        return picked.set_column(picked.column_names.index("__x"), "__x", pa.array(out.tolist(), pa.list_(pa.float64())))
 
     sampled = rows.groupBy(*[col(k) for k in keys]).applyInArrow(draw, schema)
     from pyspark.ml.functions import array_to_vector
