@@ -1,8 +1,8 @@
 """Personal data behind disguises, found with offsets in the source.
 
 Transducers rewrite a text step by step, each keeping the ranges it replaced: characters that look like
-ASCII ones become these and invisible ones vanish; runs of seven or more spelled digits, three of them different, become digits;
-"[at]", "(dot)" and "name at host dot tld" become @ and dots. Identifiers are detected in the normalised
+ASCII ones become these and invisible ones vanish; runs of seven or more spelled digits become digits, if they are of
+three values and two words at least; "[at]", "(dot)" and "name at host dot tld" become @ and dots. Identifiers are detected in the normalised
 text, and their ranges are mapped back through the steps to characters of the source, whose spans are
 replaced by the identifier's kind.
 
@@ -101,8 +101,13 @@ def normalise(text: str) -> Trace:
         trace.text = text.translate(FOLD)  # one character for one, so offsets stay
         trace.rewrite([(m.start(), m.end(), "") for m in _HIDDEN.finditer(trace.text)])
     if _TWO.search(trace.text):
-        found = [(m.start(), m.end(), "".join(_DIGITS.get(w.lower(), w) for w in _PART.findall(m[0]))) for m in _SPELLED.finditer(trace.text)]
-        trace.rewrite([e for e in found if len(set(e[2])) > 2])  # a word said over and over is no number
+        edits = []
+        for m in _SPELLED.finditer(trace.text):
+            parts = [w.lower() for w in _PART.findall(m[0])]
+            digits = "".join(_DIGITS.get(w, w) for w in parts)
+            if len(set(digits)) > 2 and len(set(parts) & _DIGITS.keys()) > 1:  # a word said over and over is no number
+                edits.append((m.start(), m.end(), digits))
+        trace.rewrite(edits)
     trace.rewrite([(m.start(), m.end(), "@" if m[1].lower() in ("at", "@") else ".") for m in _BRACED.finditer(trace.text)])
     if _DOT.search(trace.text):
         edits = []
