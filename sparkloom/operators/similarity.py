@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,8 +17,6 @@ def with_projection_hash(df: DataFrame, vector: str, dimension: int, bits: int =
     matrix = projection_matrix(dimension, bits, density, seed)
     if dimension * bits <= 4096:
         return df.withColumn(output, projection_hash(as_array(df, vector), matrix))
-    import pandas as pd
-
     rows = np.array(matrix, dtype=np.float64)
 
     @F.pandas_udf("bigint")
@@ -46,7 +46,7 @@ def greedy_dedup(df: DataFrame, order: str | Column, vector: str, bucket: str, t
     rows = df.select(row.alias("row"), col(bucket).alias("__h"), (col(order) if isinstance(order, str) else order).alias("__o"), as_array(df, vector).alias("__v"))
 
     def keep(table: pa.Table) -> pa.Table:
-        table = table.take(pa.compute.sort_indices(table, sort_keys=[("__o", "ascending")]))
+        table = table.take(pc.sort_indices(table, sort_keys=[("__o", "ascending")]))
         kept, matrix, size = [], None, 0
         for i, v in enumerate(table["__v"].to_pylist()):
             if v is None:
@@ -66,6 +66,4 @@ def greedy_dedup(df: DataFrame, order: str | Column, vector: str, bucket: str, t
             kept.append(i)
         return table.select(["row"]).take(pa.array(kept, pa.int64()))
 
-    import pyarrow.compute  # noqa: F401
-
     return rows.groupBy("__h").applyInArrow(keep, rows.select("row").schema).select("row.*")
