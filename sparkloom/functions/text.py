@@ -37,11 +37,13 @@ def without_urls(text: Column) -> Column:
 def ngrams(words: Column, least: int = 1, most: int = 2, separator: str = " ") -> Column:
     """Runs of `least` to `most` words, the shorter runs first; a shorter array has none of a length. Null stays null."""
 
+    # arrays are zipped with themselves, shifted, so that no step looks an array up by place for each word
     def of_length(n: int) -> Column:
-        if n == 1:
-            return words
-        starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), separator))
+        runs = words
+        for k in range(2, n + 1):
+            m = F.greatest(F.size(words) - (k - 1), F.lit(0))
+            runs = F.zip_with(F.slice(runs, 1, m), F.slice(words, k, m), lambda a, b: F.concat_ws(separator, a, b))
+        return runs
 
     return F.concat(*[of_length(n) for n in range(least, most + 1)])
 
