@@ -4,11 +4,13 @@
 2. The first lists of k neighbours come from blocks of like random-hyperplane codes.
 3. Each round joins every vector's neighbours, in both directions, with one another (Dong et al., 2011);
    only pairs with an edge that is new since the last round are compared. Rounds end when they find hardly
-   any new edge above the threshold.
+   any new edge above the threshold, of lists that aren't saturated.
 4. A list is saturated when all its k edges reach the threshold, so it may lack some. It is enlarged to the
    whole connected group of edges above the threshold, whose pairs are all compared, in tiles.
-5. Recall is audited: the exact neighbours of a bounded sample of vectors are found by comparison with all.
-   Below `min_recall`, all is repeated with longer lists and further codes, keeping the edges found.
+5. Recall is audited: the exact neighbours of a bounded sample of vectors are found by comparison with all,
+   apart for those within and outside the groups of step 4. Below `min_recall`, of pairs or in the mean of
+   the sampled vectors that have neighbours, all is repeated with longer lists and further codes, keeping
+   the edges found. If the last attempt is below it too, all pairs are compared, in tiles.
 6. Edges at or above the threshold are kept, and spread to the copies that step 1 collapsed.
 
 Only vectors of the commonest length take part (the longer of two as common). Rows with a null id or a null,
@@ -135,12 +137,16 @@ def _round(points: DataFrame, graph: DataFrame, n: int, k: int, turn: int) -> Da
     return found.union(found.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "sim"))
 
 
-def _whole_groups(points: DataFrame, strong: DataFrame, saturated: DataFrame, threshold: float) -> DataFrame:
-    """All pairs above the threshold in the connected groups that hold a saturated point."""
+def _saturated_groups(strong: DataFrame, saturated: DataFrame) -> DataFrame:
+    """(label, node): the connected groups that hold a saturated point."""
     labels = components(strong, "src", "dst")
     wanted = labels.join(saturated, "node", "left_semi").select("label").distinct()
-    members = labels.join(wanted, "label", "left_semi")
-    tiles = members.groupBy("label").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    return written(labels.join(wanted, "label", "left_semi").select("label", "node"))
+
+
+def _whole_groups(points: DataFrame, members: DataFrame, threshold: float, tile: int = TILE) -> DataFrame:
+    """All pairs above the threshold in each group of `members` (label, node)."""
+    tiles = members.groupBy("label").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
     members = members.join(tiles, "label").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")))
     # a point goes to every pair of tiles that has its own
     other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tiles").cast("bigint") - 1))
@@ -158,31 +164,56 @@ def _whole_groups(points: DataFrame, strong: DataFrame, saturated: DataFrame, th
             i, j = key[1, rows[0]], key[2, rows[0]]
             left = rows if i == j else rows[tile[rows] == i]
             right = rows if i == j else rows[tile[rows] == j]
-            s = x[left] @ x[right].T
-            a, b = np.nonzero((s >= threshold) & ((ids[left][:, None] < ids[right][None, :]) | (i != j)))
-            out.append((ids[left[a]], ids[right[b]], s[a, b]))
+            for some in np.split(left, range(TILE, len(left), TILE)):
+                s = x[some] @ x[right].T
+                a, b = np.nonzero((s >= threshold) & ((ids[some][:, None] < ids[right][None, :]) | (i != j)))
+                out.append((ids[some[a]], ids[right[b]], s[a, b]))
         return _edges(*[np.concatenate(c) for c in zip(*out)])
 
     return rows.select("part", "label", "i", "j", "tile", "id", "vec").groupBy("part").applyInArrow(compare, _EDGE)
 
 
-def audit_recall(points: DataFrame, edges: DataFrame, threshold: float, sample: int) -> float:
-    """The share of the exact neighbours above the threshold, of a sample of points, that `edges` (a, b) has."""
-    chosen = points.orderBy(F.xxhash64("id", F.lit(97)), "id").limit(sample).toArrow()  # bounded: `sample` vectors
+def audit_recall(points: DataFrame, edges: DataFrame, threshold: float, sample: int, groups: DataFrame | None = None) -> float:
+    """The recall of `edges` (a, b) against the exact neighbours above the threshold of a sample of points.
+
+    It is the least of four shares, so that what is found in a large group of alike points hides no other miss:
+    of pairs, and the mean share of each point that has neighbours, of points within `groups` (node), which
+    are taken to be compared all with all, and of those outside. Outside, the sample grows up to 16-fold
+    while fewer than a quarter of `sample` have neighbours.
+    """
+    within = groups.select(F.col("node").alias("id")).distinct() if groups is not None else points.select("id").where("false")
+    recall = [1.0]
+    for part, most in ((points.join(within, "id", "left_anti"), 16 * sample), (points.join(within, "id", "left_semi"), sample)):
+        drawn = sample
+        while True:
+            n, shares = _audited(points, part, edges, threshold, drawn)
+            if drawn >= most or n < drawn or len(shares) >= sample / 4:
+                break
+            drawn *= 4
+        if shares:
+            recall += [sum(hit / true for true, hit in shares) / len(shares), sum(hit for _, hit in shares) / sum(true for true, _ in shares)]
+    return min(recall)
+
+
+def _audited(points: DataFrame, part: DataFrame, edges: DataFrame, threshold: float, sample: int) -> tuple[int, list[tuple[int, int]]]:
+    """The number of points sampled of `part`, and (exact neighbours, those in `edges`) of each that has neighbours."""
+    chosen = part.select("id", "vec").orderBy(F.xxhash64("id", F.lit(97)), "id").limit(sample).toArrow()  # bounded: `sample` vectors
     if not chosen.num_rows:
-        return 1.0
+        return 0, []
     ids, x = chosen["id"].to_numpy(), _matrix(chosen["vec"])
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                own, s = batch.column(0).to_numpy(), _matrix(batch.column(1)) @ x.T
+            for lo in range(0, batch.num_rows, TILE):
+                rows = batch.slice(lo, TILE)
+                own, s = rows.column(0).to_numpy(), _matrix(rows.column(1)) @ x.T
                 a, b = np.nonzero((s >= threshold + 1e-6) & (own[:, None] != ids[None, :]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(own[a], ids[b])), pa.array(np.maximum(own[a], ids[b]))], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[b]), pa.array(np.minimum(own[a], ids[b])), pa.array(np.maximum(own[a], ids[b]))], ["id", "a", "b"])
 
-    true = points.mapInArrow(exact, "a bigint, b bigint").distinct()
-    hit = true.join(edges.select("a", "b", F.lit(1).alias("hit")), ["a", "b"], "left").agg(F.count("*").alias("n"), F.count("hit").alias("hit")).first()
-    return hit["hit"] / hit["n"] if hit["n"] else 1.0
+    true = points.mapInArrow(exact, "id bigint, a bigint, b bigint")
+    joined = true.join(edges.select("a", "b", F.lit(1).alias("hit")), ["a", "b"], "left")
+    rows = joined.groupBy("id").agg(F.count("*").alias("n"), F.count("hit").alias("hit")).collect()  # bounded: `sample` rows
+    return chosen.num_rows, [(r["n"], r["hit"]) for r in rows]
 
 
 def _directed(a: Column, b: Column) -> list[Column]:
@@ -195,25 +226,31 @@ def near_neighbours(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     copies = written(vectors.withColumn("rep", F.min("id").over(Window.partitionBy("vec"))))
     points = written(copies.where("id = rep").groupBy("id").agg(F.min("vec").alias("vec")))
     n = points.count()
-    found = None
+    found = groups = None
     for attempt in range(attempts):
         size, graph = k << attempt, None
         first = _first_lists(points, n, size, tables << attempt, seed=attempt).withColumn("fresh", F.lit(True))
-        graph, strong = written(_best(first, size)), -1
+        graph = written(_best(first, size))
         for turn in range(max_rounds):
-            now = graph.where(F.col("sim") >= threshold).count()
-            if turn and now - strong <= 0.001 * now:
+            lists = graph.where(F.col("sim") >= threshold).groupBy("src").agg(F.count("*").alias("n"), F.count(F.when(F.col("fresh"), 1)).alias("new"))
+            now = lists.where(F.col("n") < size).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("new"), F.lit(0)).alias("new")).first()
+            if turn and now["new"] <= 0.001 * now["n"]:
                 break
-            strong = now
             old = graph.withColumn("fresh", F.lit(False))
             graph = written(_best(old.union(_round(points, graph, n, size, turn).withColumn("fresh", F.lit(True))), size))
         above = graph.where(F.col("sim") >= threshold)
         full = above.groupBy("src").agg(F.count("*").alias("n")).where(F.col("n") >= size).select(F.col("src").alias("node"))
-        edges = above.select("src", "dst", "sim").union(_whole_groups(points, above, full, threshold))
+        members = _saturated_groups(above, full)
+        groups = members if groups is None else groups.union(members)
+        edges = above.select("src", "dst", "sim").union(_whole_groups(points, members, threshold))
         edges = edges.select(*_directed(F.col("src"), F.col("dst")), F.col("sim"))
         found = written((edges if found is None else edges.union(found)).groupBy("a", "b").agg(F.max("sim").alias("sim")))
-        if audit_recall(points, found, threshold, sample) >= min_recall:
+        if audit_recall(points, found, threshold, sample, groups) >= min_recall:
             break
+    else:
+        everything = points.select(F.lit(0).cast("bigint").alias("label"), F.col("id").alias("node"))
+        edges = _whole_groups(points, everything, threshold, BLOCK).select(*_directed(F.col("src"), F.col("dst")), F.col("sim"))
+        found = written(edges.groupBy("a", "b").agg(F.max("sim").alias("sim")))
     # the representatives' edges hold for all their copies, and copies are neighbours of each other
     member = copies.select("rep", "id")
     of = lambda name, out: member.select(F.col("rep").alias(name), F.col("id").alias(out))

@@ -67,6 +67,21 @@ def test_nn_descent_recall_and_precision(spark):
     assert all(s[i, j] >= 0.9 - 1e-5 and abs(s[i, j] - v) < 1e-3 for (i, j), v in found.items())
 
 
+@pytest.mark.parametrize("attempts", [1, 3])
+def test_nn_descent_recall_beside_a_hot_group(spark, attempts):
+    rng = np.random.default_rng(9)
+    hot = rng.normal(size=32) + 0.05 * rng.normal(size=(600, 32))
+    one = rng.normal(size=(700, 32))
+    x = np.concatenate([hot, one, one + 0.2 * rng.normal(size=one.shape), rng.normal(size=(600, 32))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    true = {(i, j) for i, j in zip(*np.nonzero(np.triu(unit @ unit.T >= 0.9, 1)))}
+    found = {(r["vec_id"], r["neighbour_id"]) for r in nn_descent.near_neighbours(df, k=4, tables=1, max_rounds=1, attempts=attempts).collect()}
+    apart = {p for p in true if p[0] >= 600}
+    assert len(apart) > 600 and len(true) > 100 * len(apart)
+    assert len(apart & found) >= 0.95 * len(apart) and len(true & found) >= 0.95 * len(true)
+
+
 def test_nn_descent_odd_rows(spark):
     nan = float("nan")
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [nan, 1.0]), (None, [1.0, 0.0]), (7, [1.0]), (8, [0.0, 1.0])]
