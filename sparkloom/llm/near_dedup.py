@@ -30,7 +30,7 @@ from sparkloom.llm.graph import components
 from sparkloom.llm.textkernel import Words, buffers, mix, shingles, slices
 
 DF_BITS = 18
-#: Buckets of at most so many representatives are compared all with all; larger ones leader by leader.
+#: Buckets of at most so many representatives are compared all with all; larger ones leader by leader, then across components.
 ALL_PAIRS = 64
 
 
@@ -171,25 +171,46 @@ def candidates(bands: DataFrame, texts: DataFrame, words: int, idf: np.ndarray,
 
     A bucket of up to ALL_PAIRS ids gives all pairs. In a larger one, ids are compared with the bucket's
     least id; those unlike it stay for further rounds with the least 8, 64, 512 ... of themselves, until
-    none is left: every id is compared with every leader until it has matched one or led.
+    none is left: every id is compared with every leader until it has matched one or led. Then all its pairs
+    of ids that no chain of verified pairs joins yet are compared, so that the components are those of all pairs.
     """
     shared = written(bands.withColumn("n", F.count("*").over(Window.partitionBy("band", "hash"))).where("n > 1"))
     few = shared.where(F.col("n") <= ALL_PAIRS).select("band", "hash", "id")
     pairs = few.withColumnRenamed("id", "a").join(few.withColumnRenamed("id", "b"), ["band", "hash"]).where("a < b").select("a", "b").distinct()
+    pairs = written(pairs)
     found = written(verified(pairs, texts, words, idf, threshold).groupBy("a", "b").agg(F.max("similarity").alias("similarity")))
     many = shared.where(F.col("n") > ALL_PAIRS).select("band", "hash", "id")
-    leaders = 1
+    large, compared, leaders = many, pairs, 1
     while not many.isEmpty():
         ranked = many.withColumn("rank", F.row_number().over(Window.partitionBy("band", "hash").orderBy("id")))
         first = ranked.where(F.col("rank") <= leaders).select("band", "hash", F.col("id").alias("a"))
         led = written(first.join(ranked, ["band", "hash"]).where("id > a"))
         more = written(verified(led.select("a", F.col("id").alias("b")).distinct(), texts, words, idf, threshold).groupBy("a", "b").agg(F.max("similarity").alias("similarity")))
-        found = found.union(more)
+        found, compared = found.union(more), compared.union(led.select("a", F.col("id").alias("b")))
         matched = led.join(more.select("a", F.col("b").alias("id")), ["a", "id"]).select("band", "hash", "id").distinct()
         rest = led.where(F.col("rank") > leaders).select("band", "hash", "id").distinct()
         many = written(rest.join(matched, ["band", "hash", "id"], "left_anti"))
         leaders *= 8
-    return found
+    if leaders == 1:
+        return found
+    apart = written(_apart(large, found).join(compared, ["a", "b"], "left_anti"))
+    if apart.isEmpty():
+        return found
+    return found.union(written(verified(apart, texts, words, idf, threshold).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))))
+
+
+def _apart(buckets: DataFrame, edges: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of the ids that share a bucket (band, hash) and aren't joined by `edges` between such ids."""
+    ids = buckets.select("id").distinct()
+    within = edges.join(ids.withColumnRenamed("id", "a"), "a", "left_semi").join(ids.withColumnRenamed("id", "b"), "b", "left_semi")
+    labels = components(within, "a", "b").select(F.col("node").alias("id"), "label")
+    rows = buckets.join(labels, "id", "left").select("band", "hash", "id", F.coalesce("label", "id").alias("label"))
+    sizes = rows.groupBy("band", "hash", "label").agg(F.count("*").alias("n"))
+    # of two ids apart, one at least is outside the bucket's largest component
+    most = sizes.groupBy("band", "hash").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
+    rows = written(rows.join(most, ["band", "hash"]))
+    other = rows.select("band", "hash", F.col("id").alias("x"), F.col("label").alias("of_x")).join(rows.where("label <> most").select("band", "hash", F.col("id").alias("y"), F.col("label").alias("of_y")), ["band", "hash"])
+    return other.where("of_x <> of_y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 2, threshold: float = 0.45, bands: int = 24, rows: int = 3) -> DataFrame:

@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -184,6 +185,29 @@ def test_near_dedup_large_bucket(spark):
     assert near_dedup.near_duplicates(docs_of(spark, rows)).where("keeper_id = 0").count() == 299
 
 
+def test_near_dedup_large_bucket_led_by_an_edited_copy(spark):
+    rng = random.Random(4)
+    text = [rng.choice("abcdefghij") + str(rng.randrange(400)) for _ in range(200)]
+    edited = lambda rate: " ".join(w if rng.random() >= rate else "x%d" % rng.randrange(10**6) for w in text)
+    rows = [(0, edited(0.12)), (1, " ".join(text))] + [(i, edited(0.16)) for i in range(2, 90)]
+    texts = spark.createDataFrame(rows, "id bigint, text string")
+    idf = np.ones(1 << near_dedup.DF_BITS, dtype=np.float32)
+    bands = texts.select(F.lit(0).alias("band"), F.lit(0).cast("bigint").alias("hash"), "id")
+    found = {(r["a"], r["b"]) for r in near_dedup.candidates(bands, texts, 2, idf, 0.45).collect()}
+    pairs = list(itertools.combinations(range(90), 2))
+    similar = near_dedup.similarity_of_pairs(pa.array([rows[i][1] for i, _ in pairs]), pa.array([rows[j][1] for _, j in pairs]), 2, idf)
+    true = {p for p, s in zip(pairs, similar) if s >= 0.45}
+
+    def groups(edges):
+        of = list(range(90))
+        for i, j in edges:
+            of = [of[i] if k == of[j] else k for k in of]
+        return {frozenset(k for k in range(90) if of[k] == g) for g in of}
+
+    assert len(groups(true)) < 10 and (0, 1) in true and len(true) < 150, "most copies are alike to the original only"
+    assert found <= true and groups(found) == groups(true)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 50)] + [(100, 101), (7, 7), (None, 3)], "a bigint, b bigint")
     out = {r["node"]: r["label"] for r in components(edges, "a", "b").collect()}
