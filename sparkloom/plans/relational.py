@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions.scalar import wilson_lower
 from sparkloom.functions.vectors import as_array
 from sparkloom.operators import aggregates, columns, encode, joins, ordered, sampling
-from sparkloom.plans.registry import query
+from sparkloom.plans.registry import SQL, query
 from sparkloom.sources.tables import table
 
 
@@ -209,6 +209,10 @@ select label, cast(i as integer) as i, count(*) as n, round(avg(x), 6) as mean,
 round(sum(abs(x)), 5) as l1, round(sqrt(sum(x * x)), 6) as l2, """ + ", ".join(f"round(sum(x * greatest(0, 1 - abs(rn - greatest(1, least(n, n * {p} + 0.5))))), 6) as p{round(100 * p)}" for p in (0.1, 0.5, 0.9)) + " from r group by 1, 2")
 def vector_stats(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings").select("label", F.slice("embedding", 1, 8).cast("array<double>").alias("v"))
+    return _stats_by_entry(e)
+
+
+def _stats_by_entry(e: DataFrame) -> DataFrame:
     s = aggregates.vector_stats(e, "v", ["label"])
     names = {"mean": 6, "var": 6, "min": 6, "max": 6, "nonZeros": 6, "L1": 5, "L2": 6, "p10": 6, "p50": 6, "p90": 6}
     out = s.select("label", F.col("v_count").alias("n"), F.posexplode(F.arrays_zip(*[F.col(f"v_{n}") for n in names])).alias("i", "z"))
@@ -283,6 +287,10 @@ s as (select i, avg(weight) as average, stddev_samp(weight) as deviation, count(
 select cast(i as integer) as index, round(average, 6) as average, round(deviation, 6) as deviation, n as count, round(abs(average) / ({_T[4]} * deviation / sqrt(n)), 4) as significance from s""")
 def feature_significance(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings").where("label < 5").select(F.col("label").alias("fold"), F.posexplode(F.slice("embedding", 1, 6).cast("array<double>")).alias("index", "x"))
+    return _significance(e)
+
+
+def _significance(e: DataFrame) -> DataFrame:
     w = e.groupBy("fold", "index").agg(F.avg("x").alias("weight")).withColumn("name", F.col("index").cast("string"))
     out = aggregates.weight_significance(w)
     return out.select("index", F.round("average", 6).alias("average"), F.round("deviation", 6).alias("deviation"), "count", F.round("significance", 4).alias("significance"))
@@ -318,3 +326,39 @@ def sample_keep_positive(spark: SparkSession, sf: str) -> DataFrame:
 def sample_pairs(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events").select("user_id", F.array("value", F.hour("ts").cast("double")).alias("v"), (F.col("event_type") == "purchase").cast("double").alias("label"))
     return sampling.sample_pairs(e, ["user_id"], "v", "label", item_rate=sampling.item_rate_for(e, ["user_id"], "label", 2000), ranking_power=0.5)
+
+
+# The queries above that take part of the embeddings, over all rows, labels and entries.
+
+
+@query(SQL["vector_stats"].replace("embedding[1:8]", "embedding"))
+def vector_stats_all(spark: SparkSession, sf: str) -> DataFrame:
+    return _stats_by_entry(table(spark, sf, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("v")))
+
+
+@query("""with d as (select vec_id, label, generate_subscripts(embedding, 1) - 1 as i, cast(unnest(embedding) as double) as x from embeddings),
+e as (select vec_id, label, i, case when (vec_id + i) % 7 = 0 then null else x end as x from d)
+select vec_id, label, cast(i as integer) as i, round(coalesce(x, avg(x) over (partition by label, i), 0), 6) as v from e""")
+def nan_to_mean_all(spark: SparkSession, sf: str) -> DataFrame:
+    holes = F.transform(F.col("embedding").cast("array<double>"), lambda x, i: F.when((F.col("vec_id") + i) % 7 == 0, float("nan")).otherwise(x))
+    out = aggregates.replace_nan_by_mean(table(spark, sf, "embeddings").select("vec_id", "label", holes.alias("v")), "v", ["label"])
+    return out.select("vec_id", "label", F.posexplode(as_array(out, "v")).alias("i", "x")).select("vec_id", "label", "i", F.round("x", 6).alias("v"))
+
+
+@query(SQL["vector_explode"].replace("embedding[1:4]", "embedding"))
+def vector_explode_all(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    longest = e.agg(F.coalesce(F.max(F.size("v")), F.lit(0))).first()[0]
+    return columns.explode_vectors(columns.with_metadata(e, "v", [f"e{i}" for i in range(longest)]), "value", ["v"]).withColumn("v", F.round("v", 6))
+
+
+@query(SQL["greatest_useful_l1"].replace("embedding[1:8]", "embedding"))
+def greatest_useful_l1_all(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("v"))
+    return aggregates.greatest_useful_l1(e, "v", "label").select(F.round("bound", 6).alias("bound"))
+
+
+#: No SQL: DuckDB has no quantiles of Student's t for any number of labels.
+@query()
+def feature_significance_all(spark: SparkSession, sf: str) -> DataFrame:
+    return _significance(table(spark, sf, "embeddings").select(F.col("label").alias("fold"), F.posexplode(F.col("embedding").cast("array<double>")).alias("index", "x")))
