@@ -38,3 +38,17 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
             break
         before = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(edges.select("v", "v").distinct())
+
+
+def sure_links(members: DataFrame, limit: int) -> DataFrame:
+    """(id, n): by weight, how many others y of its group each x of members (label, id, w, q) has with q of x + q of y <= limit.
+
+    Counted by a histogram of q for each label, of at most limit + 1 values, so no task takes a whole group.
+    """
+    counts = members.where(F.col("q") <= limit).groupBy("label", "q").agg(F.sum("w").alias("w"))
+    asked = counts.select("label", (limit - F.col("q")).alias("q"), F.lit(0).cast("bigint").alias("w"))
+    upto = Window.partitionBy("label").orderBy("q").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = counts.select("label", "q", "w").union(asked).groupBy("label", "q").agg(F.sum("w").alias("w")).select("label", F.col("q").alias("at"), F.sum("w").over(upto).alias("upto"))
+    rows = members.where(F.col("q") <= limit).withColumn("at", limit - F.col("q")).join(sums, ["label", "at"])
+    own = F.when(2 * F.col("q") <= limit, F.col("w")).otherwise(0)
+    return rows.select("id", (F.col("upto") - own).cast("bigint").alias("n"))

@@ -35,9 +35,12 @@ def op2_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _OP2 = """
-with v as (select vec_id, cast(embedding as double[]) as e from embeddings),
-p as (select a.vec_id, b.vec_id as neighbour_id, list_cosine_similarity(a.e, b.e) as similarity from v a join v b on a.vec_id < b.vec_id)
-select vec_id, neighbour_id, round(similarity, 4) as similarity from p where similarity >= 0.9
+with recursive v as (select vec_id, cast(embedding as double[]) as e from embeddings),
+p as materialized (select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id where list_cosine_similarity(a.e, b.e) >= 0.9),
+r as (select vec_id as a, vec_id as b from v union select r.a, p.b from r join p on r.b = p.a),
+c as (select a, min(b) as class_id from r group by a),
+n as (select a, count(*) as n_links from p group by a)
+select c.a as vec_id, c.class_id, coalesce(n.n_links, 0) as n_links from c left join n on c.a = n.a
 """
 
 
