@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegralType, StructType
 
 _written: dict[str, SparkSession] = {}
 _paths: dict[int, str] = {}
@@ -29,6 +30,28 @@ def text_hash(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(7919), text, F.length(text)).alias("h2")]
 
 
+def keyed(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """(id bigint, text) of the rows that have both, and (name, id) if the ids of `df` aren't integers.
+
+    Those are numbered in their order.
+    """
+    rows = df.select(col(id_col).alias("id"), col(text_col).alias("text")).where("id is not null and text is not null")
+    if isinstance(rows.schema["id"].dataType, IntegralType):
+        return rows.withColumn("id", F.col("id").cast("bigint")), None
+    ordered = rows.select(F.col("id").alias("name")).distinct().sort("name")
+    names = written(ordered.select("name", F.monotonically_increasing_id().alias("id")))
+    return rows.withColumnRenamed("id", "name").join(names, "name").select("id", "text"), names
+
+
+def named(out: DataFrame, names: DataFrame | None) -> DataFrame:
+    """`out` (id, class_id, ...) with the names that `keyed` numbered."""
+    if names is None:
+        return out
+    classes = names.select(F.col("name").alias("class_name"), F.col("id").alias("class_id"))
+    full = out.join(names, "id").join(classes, "class_id")
+    return full.select(F.col("name").alias("id"), F.col("class_name").alias("class_id"), *[c for c in out.columns if c not in ("id", "class_id")])
+
+
 def _remove() -> None:
     for path, spark in _written.items():
         try:
@@ -46,11 +69,14 @@ atexit.register(_remove)
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, the one that all executors share.
 
-    Only where that setting is unset, as in tests on one machine, is a temporary folder used.
+    Where that setting is unset, one process may use a temporary folder, as in tests; a cluster may not.
     It is deleted when the driver ends.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"on {master}, set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
         spark.conf.set("spark.checkpoint.dir", root)
         _written[root] = spark

@@ -143,15 +143,15 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float) -> np.ndarra
     active_at = np.searchsorted(-counts[order], -np.arange(counts.max(initial=0)), side="left")
     first = first[order]
     value = np.zeros((len(counts), states), dtype=np.float32)
-    back = np.empty((n, states), dtype=np.int8)
-    own = np.arange(states, dtype=np.int8)
+    back = np.empty((n, states), dtype=np.int16)
+    own = np.arange(states, dtype=np.int16)
     for t, a in enumerate(active_at):
         v = value[:a]
         best = v.argmax(1)
         switch = (v[np.arange(a), best] - np.float32(penalty))[:, None]
         at = first[:a] + t
         stay = v >= switch
-        back[at] = np.where(stay, own, best[:, None].astype(np.int8))
+        back[at] = np.where(stay, own, best[:, None].astype(np.int16))
         value[:a] = np.maximum(v, switch) + scores[at]
     state = value.argmax(1)
     out = np.empty(n, dtype=np.int64)
@@ -179,7 +179,10 @@ def label(words: Words, model: LanguageModel, penalty: float) -> np.ndarray:
     scores -= np.where(np.isfinite(known), known, 0)[:, None]
     scores[:, len(trained) :] = 0
     scores = np.where(allowed, np.maximum(scores, -12), np.float32(-60))
-    return used[viterbi(scores, words.count, penalty)]
+    state = used[viterbi(scores, words.count, penalty)]
+    # a text of digits only is a tie, whatever its neighbours are
+    state[np.bincount(words.row, script > 0, len(words.count))[words.row] == 0] = 0
+    return state
 
 
 def identify(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", penalty: float = 14.0) -> DataFrame:

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import col, packed
+from sparkloom.llm.common import col, packed, written
 
 
 def count_tokens(text: Column) -> Column:
@@ -114,12 +114,8 @@ def _with_plan(rows: DataFrame, mix: Mix) -> DataFrame:
     return rows.where("tokens > 0").join(plan, F.col("source").eqNullSafe(F.col("p_source"))).drop("p_source")
 
 
-def mixed_stream(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", token_col: str | None = None, max_repetition: float | None = 1.5, target_entropy: float | None = None, budget: float | None = None, block_tokens: int = 65_536, seed: int = 11) -> DataFrame:
-    """(block, slot, doc_id, source, copy, tokens): every draw, with its place in the stream."""
-    rows = _meta(docs, id_col, text_col, source_col, token_col)
-    mix = fit_mix(rows, max_repetition, target_entropy, budget)
-    if mix is None:
-        return rows.select(F.lit(0).cast("bigint").alias("block"), F.lit(0).alias("slot"), F.col("id").alias("doc_id"), "source", F.lit(0).alias("copy"), "tokens").where("false")
+def _placed(rows: DataFrame, mix: Mix, block_tokens: int, seed: int) -> DataFrame:
+    """(block, id, source, copy, tokens) of every draw."""
     blocks = max(1, math.ceil(mix.budget / block_tokens))
     drawn = _with_plan(rows, mix).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("passes"))))
     drawn = drawn.where("copy < passes or rest > 0").withColumn("u", _drawn_key(seed, F.col("copy"))).withColumn("bucket", F.substring("u", 1, 3))
@@ -128,34 +124,45 @@ def mixed_stream(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     at = F.col("before") + F.sum("tokens").over(Window.partitionBy("source", "copy", "bucket").orderBy("u"))
     placed = drawn.join(before.drop("t"), same).withColumn("at", at).where("copy < passes or at <= rest")
     block = F.least(F.lit(blocks), F.greatest(F.lit(1), F.ceil((F.col("copy") * F.col("total") + F.col("at")) / F.col("quota") * blocks - 1e-9))) - 1
-    placed = placed.select(block.cast("bigint").alias("block"), "id", "source", "copy", "tokens")
-    key = F.md5(F.concat_ws(":", F.lit(seed), F.lit("block"), F.col("block"), F.col("copy"), F.coalesce(F.col("id").cast("string"), F.lit("null"))))
+    return placed.select(block.cast("bigint").alias("block"), "id", "source", "copy", "tokens")
+
+
+def mixed_stream(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", token_col: str | None = None, max_repetition: float | None = 1.5, target_entropy: float | None = None, budget: float | None = None, block_tokens: int = 65_536, seed: int = 11) -> DataFrame:
+    """(block, slot, doc_id, source, copy, tokens): every draw, with its place in the stream."""
+    rows = written(_meta(docs, id_col, text_col, source_col, token_col))  # tokens are counted once
+    mix = fit_mix(rows, max_repetition, target_entropy, budget)
+    if mix is None:
+        return rows.select(F.lit(0).cast("bigint").alias("block"), F.lit(0).alias("slot"), F.col("id").alias("doc_id"), "source", F.lit(0).alias("copy"), "tokens").where("false")
+    placed = _placed(rows, mix, block_tokens, seed)
+    key = _block_key(seed)
     slot = F.row_number().over(Window.partitionBy("block").orderBy(key, "source", "tokens")) - 1
     return placed.select("block", slot.alias("slot"), F.col("id").alias("doc_id"), "source", "copy", "tokens")
 
 
-def mix_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", token_col: str | None = None, max_repetition: float | None = 1.5, target_entropy: float | None = None, budget: float | None = None, seed: int = 11) -> DataFrame:
-    """`docs`, all columns, each row as often as the mix draws it: the draws of `mixed_stream`, without places.
+def mix_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", token_col: str | None = None, max_repetition: float | None = 1.5, target_entropy: float | None = None, budget: float | None = None, block_tokens: int = 65_536, seed: int = 11, blocks_per_part: int = 256) -> DataFrame:
+    """`docs`, all columns, each row as often as the mix draws it, in the order of block and slot.
 
-    Only ids and counts are sorted, to find where the last pass of each source ends; rows are not moved.
+    A partition holds about `blocks_per_part` blocks that follow one another, sorted; partitions are in order.
     """
-    rows = _meta(docs, id_col, text_col, source_col, token_col)
+    rows = written(_meta(docs, id_col, text_col, source_col, token_col))
     mix = fit_mix(rows, max_repetition, target_entropy, budget)
     if mix is None:
         return docs.where("false")
-    last = _with_plan(rows, mix).where("rest > 0").select("id", "source", "tokens", "rest", F.col("passes").alias("copy"))
-    last = last.withColumn("u", _drawn_key(seed, F.col("copy"))).withColumn("bucket", F.substring("u", 1, 3))
-    edges = _before_bucket(last).withColumnsRenamed({"source": "b_source", "copy": "b_copy", "bucket": "b_bucket"})
-    same = F.col("source").eqNullSafe(F.col("b_source")) & (F.col("copy") == F.col("b_copy")) & (F.col("bucket") == F.col("b_bucket"))
-    at = F.col("before") + F.sum("tokens").over(Window.partitionBy("source", "copy", "bucket").orderBy("u"))
-    # a bucket that the quota ends before holds no row that fits; of those it doesn't, the last row that fits is the end
-    ends = last.join(edges, same).where("before < rest").withColumn("at", at).where("at <= rest").groupBy("source").agg(F.max("u").alias("end"))
-    ends = ends.withColumnRenamed("source", "e_source")
-    full = packed(docs, id=col(id_col), source=col(source_col).cast("string"), tokens=_tokens_of(docs, text_col, token_col))
-    full = _with_plan(full, mix).join(ends, F.col("source").eqNullSafe(F.col("e_source")), "left")
-    more = F.coalesce(_drawn_key(seed, F.col("passes")) <= F.col("end"), F.lit(False)).cast("int")
-    copies = F.col("passes") + more
-    return full.select("row", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)))).select("row.*")
+    # rows of one id and source tie, so they share the block of each copy
+    places = _placed(rows, mix, block_tokens, seed).select("id", "source", "copy", "block").distinct()
+    places = places.groupBy("id", "source").agg(F.collect_list(F.struct("copy", "block")).alias("draws")).withColumnsRenamed({"id": "p_id", "source": "p_source"})
+    full = packed(docs, id=col(id_col), source=col(source_col).cast("string"), has=F.coalesce(col(text_col).rlike(r"\S"), F.lit(False)) if token_col is None else _tokens_of(docs, text_col, token_col) > 0)
+    full = full.where("has").drop("has").join(places, F.col("id").eqNullSafe(F.col("p_id")) & F.col("source").eqNullSafe(F.col("p_source")))
+    drawn = full.select("row", "id", "source", F.explode("draws").alias("draw")).select("row", "id", "source", "draw.*")
+    blocks = max(1, math.ceil(mix.budget / block_tokens))
+    parts = min(blocks, max(math.ceil(blocks / blocks_per_part), 2 * docs.sparkSession.sparkContext.defaultParallelism))
+    drawn = drawn.repartitionById(parts, F.floor(F.col("block") * parts / blocks).cast("int"))
+    return drawn.withColumn("key", _block_key(seed)).sortWithinPartitions("block", "key", "source").select("row.*")
+
+
+def _block_key(seed: int) -> Column:
+    """By which the draws of a block are permuted."""
+    return F.md5(F.concat_ws(":", F.lit(seed), F.lit("block"), F.col("block"), F.col("copy"), F.coalesce(F.col("id").cast("string"), F.lit("null"))))
 
 
 def _tokens_of(docs: DataFrame, text_col: str, token_col: str | None) -> Column:

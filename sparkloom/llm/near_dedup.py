@@ -3,16 +3,18 @@
 1. The document frequency of every shingle is counted over all documents, in 2^18 buckets by hash, so that
    the weights that each worker needs have a fixed size (1 MB) however large the corpus is. Shingles that
    share a bucket pool their counts; the pooled share of documents depends on document length alone.
-2. Each document's weighted set of shingles (count x idf) is drawn from by improved consistent weighted
-   sampling (Ioffe, 2010): two documents draw the same sample with a probability equal to their weighted
-   Jaccard similarity. Exact copies collapse to one representative by a 128-bit text hash.
-3. Samples are grouped in bands; representatives that agree in a band are candidates.
-4. Candidates are verified by the weighted Jaccard similarity of their whole texts.
-5. Connected components of verified pairs and exact copies are the groups.
-
-Documents are named by their id. Rows of one id are one document; a match of any of its texts is its
-match, and repeated rows don't match themselves. Rows with a null id, and null or wordless texts, match
-nothing. Other columns are ignored, whatever their names.
+2. Each text's weighted set of shingles (count x idf) is drawn from by improved consistent weighted
+   sampling (Ioffe, 2010): two texts draw the same sample with a probability equal to their weighted
+   Jaccard similarity. Equal texts collapse to one by a 128-bit hash, which weighs as many documents.
+3. Samples are grouped in bands; texts that agree in a band are candidates.
+4. Candidates are verified by the weighted Jaccard similarity of their whole texts. In large buckets this
+   distance, a metric, to one leading text settles most pairs without a comparison; see `links`.
+5. Connected components of links are the classes.
+
+Documents are named by their id, of any type that sorts. Rows of one id are one document, of one class; it has
+the links of each of its texts, a similar text of its own among them; rows that repeat an id and a text count
+once. Rows with a null id, and null or wordless texts, match nothing. Other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -22,16 +24,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import col, packed, text_hash, written
-from sparkloom.llm.graph import components
+from sparkloom.llm.common import col, keyed, named, packed, text_hash, written
+from sparkloom.llm.graph import components, sure_links
 from sparkloom.llm.textkernel import Words, buffers, mix, shingles, slices
 
 DF_BITS = 18
-#: Buckets of at most so many representatives are compared all with all; larger ones leader by leader, then across components.
-ALL_PAIRS = 64
+#: Buckets of more texts have a leader, whose distances settle pairs; the links are the same either way.
+SMALL = 32
+#: Steps of a distance up to that of the threshold.
+STEPS = 4096
+#: Texts on either side of the pairs that one task compares.
+SIDE = 256
 
 
 def _gamma_table() -> np.ndarray:
@@ -109,24 +115,44 @@ def _weighted(raw: np.ndarray, off: np.ndarray, words: int, idf: np.ndarray) ->
     return row, h, n * idf[(h >> np.uint64(48 - DF_BITS)).astype(np.int64)]
 
 
-def similarity_of_pairs(a: pa.Array, b: pa.Array, words: int, idf: np.ndarray) -> np.ndarray:
-    """Weighted Jaccard similarity, sum of least over sum of greatest weights, of each pair of texts."""
-    (raw_a, off_a), (raw_b, off_b) = buffers(a), buffers(b)
-    out = np.zeros(len(a))
-    for lo, hi in slices(off_a + off_b):
-        ra, ha, wa = _weighted(raw_a[off_a[lo] : off_a[hi]], off_a[lo : hi + 1] - off_a[lo], words, idf)
-        rb, hb, wb = _weighted(raw_b[off_b[lo] : off_b[hi]], off_b[lo : hi + 1] - off_b[lo], words, idf)
-        ka, kb = (ra.astype(np.uint64) << np.uint64(48)) | ha, (rb.astype(np.uint64) << np.uint64(48)) | hb
-        _, ia, ib = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
-        n = hi - lo
-        least = np.bincount(ra[ia], np.minimum(wa[ia], wb[ib]), n)
-        total = np.bincount(ra, wa, n) + np.bincount(rb, wb, n) - least
-        out[lo:hi] = np.divide(least, total, out=np.zeros(n), where=total > 0)
-    return out
-
-
-def signatures(df: DataFrame, id_col: str, text: str, words: int, idf: np.ndarray, bands: int, rows: int) -> DataFrame:
-    """(id, h1, h2, bands array<bigint>) of each row that has an id and a word."""
+class Sets:
+    """Weighted shingle sets of texts, for the similarity of chosen pairs."""
+
+    def __init__(self, texts: pa.Array, words: int, idf: np.ndarray):
+        raw, off = buffers(texts)
+        parts = [(lo, *_weighted(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], words, idf)) for lo, hi in slices(off)]
+        row = np.concatenate([np.zeros(0, np.int64), *[p[1] + p[0] for p in parts]])
+        self.weight = np.concatenate([np.zeros(0), *[p[3] for p in parts]])
+        found, self.feature = np.unique(np.concatenate([np.zeros(0, np.uint64), *[p[2] for p in parts]]), return_inverse=True)
+        self.dense = np.zeros(len(found))
+        self.first = np.searchsorted(row, np.arange(len(texts) + 1))
+        self.total = np.bincount(row, self.weight, len(texts))
+
+    def similarity(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Weighted Jaccard similarity, sum of least over sum of greatest weights, of texts a[i] and b[i]."""
+        out = np.zeros(len(a))
+        order = np.argsort(a, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(a[order])) + 1) if len(a) else ():
+            own = slice(self.first[a[rows[0]]], self.first[a[rows[0]] + 1])
+            self.dense[self.feature[own]] = self.weight[own]
+            sizes = np.cumsum(self.first[b[rows] + 1] - self.first[b[rows]])
+            lo = 0
+            while lo < len(rows):  # so many partners at a time that their shingles fit a small array
+                hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + (1 << 20))))
+                other = b[rows[lo:hi]]
+                size = self.first[other + 1] - self.first[other]
+                ends = np.cumsum(size)
+                at = np.arange(ends[-1]) + np.repeat(self.first[other] - ends + size, size)
+                least = np.bincount(np.repeat(np.arange(hi - lo), size), np.minimum(self.dense[self.feature[at]], self.weight[at]), hi - lo)
+                total = self.total[a[rows[0]]] + self.total[other] - least
+                out[rows[lo:hi]] = np.divide(least, total, out=np.zeros(hi - lo), where=total > 0)
+                lo = hi
+            self.dense[self.feature[own]] = 0
+        return out
+
+
+def signatures(df: DataFrame, words: int, idf: np.ndarray, bands: int, rows: int) -> DataFrame:
+    """(id, h1, h2, weight, bands array<bigint>) of each row (id, text) that has a word; weight: that of the whole text."""
     sampler = Icws(bands * rows)
     shared = df.sparkSession.sparkContext.broadcast(idf)
     salts = np.random.default_rng(2).integers(0, 2**64, (rows, 1, 1), dtype=np.uint64) | np.uint64(1)
@@ -145,103 +171,132 @@ def signatures(df: DataFrame, id_col: str, text: str, words: int, idf: np.ndarra
                     band = mix(band * salts[i] + drawn[:, :, i] + np.uint64(i + 1))
                 keep = batch.slice(lo, hi - lo).take(pa.array(row[starts]))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(starts) + 1) * bands, pa.int32()), pa.array(band.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([*keep.columns[:3], lists], ["id", "h1", "h2", "bands"])
+                yield pa.RecordBatch.from_arrays([*keep.columns[:3], pa.array(np.add.reduceat(w, starts).astype(np.float64)), lists], ["id", "h1", "h2", "weight", "bands"])
 
-    source = df.select(col(id_col).cast("bigint").alias("id"), *text_hash(col(text)), col(text).alias("text")).where("id is not null and text is not null")
-    return source.mapInArrow(sign, "id bigint, h1 bigint, h2 bigint, bands array<bigint>")
+    return df.select("id", *text_hash(F.col("text")), "text").mapInArrow(sign, "id bigint, h1 bigint, h2 bigint, weight double, bands array<bigint>")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, words: int, idf: np.ndarray, threshold: float) -> DataFrame:
-    """(a, b, similarity) of the pairs whose whole texts are similar enough."""
-    shared = pairs.sparkSession.sparkContext.broadcast(idf)
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            s = similarity_of_pairs(batch.column(2), batch.column(3), words, shared.value)
-            ok = pa.array(s >= threshold)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok), pa.array(s).filter(ok)], ["a", "b", "similarity"])
+def verified(pairs: DataFrame, texts: DataFrame, words: int, idf: np.ndarray, least: float) -> DataFrame:
+    """(a, b, similarity) of the distinct pairs (a, b, key) whose whole texts (id, text) are at least so similar.
 
-    with_a = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = with_a.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(measure, "a bigint, b bigint, similarity double")
-
-
-def candidates(bands: DataFrame, texts: DataFrame, words: int, idf: np.ndarray, threshold: float) -> DataFrame:
-    """Verified pairs (a, b, similarity), a < b, of the ids that share a bucket (band, hash).
-
-    A bucket of up to ALL_PAIRS ids gives all pairs. In a larger one, ids are compared with the bucket's
-    least id; those unlike it stay for further rounds with the least 8, 64, 512 ... of themselves, until
-    none is left: every id is compared with every leader until it has matched one or led. Then all its pairs
-    of ids that no chain of verified pairs joins yet are compared, so that the components are those of all pairs.
+    Pairs of one key are compared in one task, to which each text goes once; a key of more than SIDE texts on
+    either side is dealt into parts by the hashes of both ids. Small keys share parts.
     """
-    shared = written(bands.withColumn("n", F.count("*").over(Window.partitionBy("band", "hash"))).where("n > 1"))
-    few = shared.where(F.col("n") <= ALL_PAIRS).select("band", "hash", "id")
-    pairs = few.withColumnRenamed("id", "a").join(few.withColumnRenamed("id", "b"), ["band", "hash"]).where("a < b").select("a", "b").distinct()
+    shared = pairs.sparkSession.sparkContext.broadcast(idf)
     pairs = written(pairs)
-    found = written(verified(pairs, texts, words, idf, threshold).groupBy("a", "b").agg(F.max("similarity").alias("similarity")))
-    many = shared.where(F.col("n") > ALL_PAIRS).select("band", "hash", "id")
-    large, compared, leaders = many, pairs, 1
-    while not many.isEmpty():
-        ranked = many.withColumn("rank", F.row_number().over(Window.partitionBy("band", "hash").orderBy("id")))
-        first = ranked.where(F.col("rank") <= leaders).select("band", "hash", F.col("id").alias("a"))
-        led = written(first.join(ranked, ["band", "hash"]).where("id > a"))
-        more = written(verified(led.select("a", F.col("id").alias("b")).distinct(), texts, words, idf, threshold).groupBy("a", "b").agg(F.max("similarity").alias("similarity")))
-        found, compared = found.union(more), compared.union(led.select("a", F.col("id").alias("b")))
-        matched = led.join(more.select("a", F.col("b").alias("id")), ["a", "id"]).select("band", "hash", "id").distinct()
-        rest = led.where(F.col("rank") > leaders).select("band", "hash", "id").distinct()
-        many = written(rest.join(matched, ["band", "hash", "id"], "left_anti"))
-        leaders *= 8
-    if leaders == 1:
-        return found
-    apart = written(_apart(large, found).join(compared, ["a", "b"], "left_anti"))
-    if apart.isEmpty():
-        return found
-    return found.union(written(verified(apart, texts, words, idf, threshold).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))))
-
-
-def _apart(buckets: DataFrame, edges: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of the ids that share a bucket (band, hash) and aren't joined by `edges` between such ids."""
-    ids = buckets.select("id").distinct()
-    within = edges.join(ids.withColumnRenamed("id", "a"), "a", "left_semi").join(ids.withColumnRenamed("id", "b"), "b", "left_semi")
-    labels = components(within, "a", "b").select(F.col("node").alias("id"), "label")
-    rows = buckets.join(labels, "id", "left").select("band", "hash", "id", F.coalesce("label", "id").alias("label"))
-    sizes = rows.groupBy("band", "hash", "label").agg(F.count("*").alias("n"))
-    # of two ids apart, one at least is outside the bucket's largest component
-    most = sizes.groupBy("band", "hash").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
-    rows = written(rows.join(most, ["band", "hash"]))
-    other = rows.select("band", "hash", F.col("id").alias("x"), F.col("label").alias("of_x")).join(rows.where("label <> most").select("band", "hash", F.col("id").alias("y"), F.col("label").alias("of_y")), ["band", "hash"])
-    return other.where("of_x <> of_y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    sides = pairs.groupBy("key").agg(*[F.ceil(F.approx_count_distinct(x) / SIDE).cast("bigint").alias("of_" + x) for x in "ab"])
+    parts = max(1, math.ceil(pairs.count() / (2 * SIDE)))
+    spot = F.xxhash64("key", F.pmod(F.xxhash64("a"), "of_a"), F.pmod(F.xxhash64("b"), "of_b"))
+    part = F.when(F.col("of_a") * F.col("of_b") == 1, F.pmod(F.xxhash64("key"), F.lit(parts))).otherwise(spot)
+    placed = written(pairs.join(sides, "key").select("a", "b", part.alias("part")))
+    wanted = placed.select(F.col("part").alias("spot"), F.explode(F.array("a", "b")).alias("id")).distinct()
+    wanted = wanted.join(texts, "id").select("spot", "id", "text")
+
+    def measure(some: pa.Table, known: pa.Table) -> pa.Table:
+        a, b, names = some["a"].to_numpy(), some["b"].to_numpy(), known["id"].to_numpy()
+        order = np.argsort(names)
+        at = lambda x: order[np.searchsorted(names, x, sorter=order)]
+        s = Sets(known["text"], words, shared.value).similarity(at(a), at(b)) if len(a) else np.zeros(0)
+        ok = s >= least
+        return pa.table({"a": pa.array(a[ok], pa.int64()), "b": pa.array(b[ok], pa.int64()), "similarity": pa.array(s[ok])})
+
+    return written(placed.groupBy("part").cogroup(wanted.groupBy("spot")).applyInArrow(measure, "a bigint, b bigint, similarity double"))
+
+
+def links(bands: DataFrame, texts: DataFrame, words: int, idf: np.ndarray, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Of texts (id, weight, band, hash) that share a bucket: (a, b, similarity), verified pairs, and (id, label, q, similarity), homes.
+
+    Buckets of up to SMALL ids give all their pairs. Every larger one is led by the id that shares most buckets,
+    and all its ids are compared with that. The leaders whose similarity reaches the threshold offer an id a
+    home, of which it takes the one that shares most buckets. q is the distance to it, 1 - similarity, in steps
+    of a STEPS-th of the greatest distance of a link, rounded up. By the triangle inequality two ids of one home
+    are linked if their q add up to at most STEPS; else their pair is verified, and so are the pairs that share
+    a bucket and no home. A pair of weights too unlike for the threshold needs no verification.
+    """
+    sizes = bands.groupBy("band", "hash").agg(F.count("*").alias("n")).where("n > 1")
+    shared = written(bands.join(sizes, ["band", "hash"]))
+    few = shared.where(F.col("n") <= SMALL).select("band", "hash", "id", "weight")
+    many = shared.where(F.col("n") > SMALL)
+    popular = many.groupBy("id").agg(F.sum("n").alias("shares"))
+    many = written(many.join(popular, "id").select("band", "hash", "id", "weight", "shares"))
+    leads = many.groupBy("band", "hash").agg(F.max(F.struct("shares", (-F.col("id")).alias("minus"), "weight")).alias("lead"))
+    leads = leads.select("band", "hash", (-F.col("lead.minus")).alias("leader"), "lead.weight", F.col("lead.shares").alias("offer"))
+    star = many.select("band", "hash", "id", F.col("weight").alias("own")).join(leads, ["band", "hash"]).where("id <> leader")
+    star = star.where(F.least("own", "weight") >= (threshold - 1e-6) * F.greatest("own", "weight")).select(F.col("leader").alias("a"), F.col("id").alias("b"), "offer").distinct()
+    star = written(star)
+    reached = verified(star.select("a", "b", F.col("a").alias("key")), texts, words, idf, threshold)
+    offers = reached.join(star, ["a", "b"]).select(F.col("b").alias("id"), F.col("a").alias("label"), "similarity", "offer")
+    offers = offers.union(leads.select(F.col("leader").alias("id"), F.col("leader").alias("label"), F.lit(1.0), "offer").distinct())
+    home = offers.groupBy("id").agg(F.max(F.struct("offer", (-F.col("label")).alias("minus"), "similarity")).alias("best"))
+    distance = F.ceil((1 - F.col("best.similarity")) / (1 - threshold) * STEPS - 1e-6).cast("int")
+    home = written(home.select("id", (-F.col("best.minus")).alias("label"), distance.alias("q"), "best.similarity"))
+    # within a home
+    sides = home.groupBy("label").agg(F.max("q").alias("most"), F.count("*").alias("n")).where("2 * most > %d" % STEPS)
+    salts = F.greatest(F.lit(1), F.ceil(F.col("n") / 4096)).cast("bigint")
+    other = home.join(sides.select("label", "most", salts.alias("salts")), "label").where(F.col("q") + F.col("most") > STEPS)
+    far = other.where(2 * F.col("q") > STEPS).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)))
+    other = other.select("label", F.pmod(F.xxhash64("id"), "salts").alias("salt"), F.col("id").alias("y"), F.col("q").alias("of_y"))
+    open_ = far.join(other, ["label", "salt"]).where((F.col("q") + F.col("of_y") > STEPS) & (F.col("id") != F.col("y")))
+    open_ = open_.where((2 * F.col("of_y") <= STEPS) | (F.col("id") < F.col("y"))).select(F.least("id", "y").alias("a"), F.greatest("id", "y").alias("b"), F.col("label").alias("key"))
+    # across homes, in buckets; of two ids of different homes one is outside its bucket's commonest home
+    where = home.select("id", "label")
+    alike = lambda x, y: F.least(x, y) >= (threshold - 1e-6) * F.greatest(x, y)
+    few = few.join(where, "id", "left")
+    pairs = few.select("band", "hash", F.col("id").alias("a"), F.col("weight").alias("wa"), F.col("label").alias("la")).join(few.select("band", "hash", F.col("id").alias("b"), F.col("weight").alias("wb"), F.col("label").alias("lb")), ["band", "hash"])
+    pairs = pairs.where((F.col("a") < F.col("b")) & alike("wa", "wb") & ~F.coalesce(F.col("la") == F.col("lb"), F.lit(False)))
+    pairs = pairs.select("a", "b", F.least(F.coalesce("la", "a"), F.coalesce("lb", "b")).alias("key"))
+    many = many.select("band", "hash", "id", "weight").join(where, "id", "left").withColumn("label", F.coalesce("label", -1 - F.col("id")))
+    most = many.groupBy("band", "hash", "label").agg(F.count("*").alias("n")).groupBy("band", "hash").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
+    many = many.join(most, ["band", "hash"])
+    across = many.select("band", "hash", F.col("id").alias("x"), F.col("weight").alias("wx"), F.col("label").alias("lx")).join(many.where("label <> most").select("band", "hash", F.col("id").alias("y"), F.col("weight").alias("wy"), F.col("label").alias("ly")), ["band", "hash"])
+    across = across.where((F.col("lx") != F.col("ly")) & alike("wx", "wy")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.least("lx", "ly").alias("key"))
+    pairs = pairs.union(across).groupBy("a", "b").agg(F.min("key").alias("key"))
+    return verified(pairs.union(open_), texts, words, idf, threshold), home
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 2, threshold: float = 0.45, bands: int = 24, rows: int = 3) -> DataFrame:
-    """(doc_id, keeper_id, similarity): each document that has an earlier one in its group, with the group's first.
+    """(doc_id, class_id, n_links, similarity), a row for each document that has a link.
 
-    similarity: 1 for a text equal to another one of a smaller id, else the greatest of the document's verified
-    similarities. Documents without duplicates have no row; an empty table gives none.
+    class_id: the least id of its class; n_links: the number of other documents, equal texts included, that it is
+    linked to; similarity: 1 if another document has the same text, else the greatest that was measured, to one
+    of its links. Documents without links have no row; an empty table gives none.
     """
+    docs, names = keyed(df, id_col, text_col)
     idf, _ = idf_table(df, text_col, words)
-    signed = written(signatures(df, id_col, text_col, words, idf, bands, rows))
-    reps = signed.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.min_by("bands", "id").alias("bands"))
-    exploded = reps.select("id", F.posexplode("bands").alias("band", "hash"))
-    texts = df.select(col(id_col).cast("bigint").alias("id"), col(text_col).alias("text")).where("id is not null and text is not null")
-    near = candidates(exploded, texts, words, idf, threshold)
-    copies = signed.join(signed.groupBy("h1", "h2").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n"), ["h1", "h2"]).where("id <> a")
-    copies = copies.select("a", F.col("id").alias("b")).distinct()
-    edges = written(near.union(copies.withColumn("similarity", F.lit(1.0))))
-    labels = components(edges, "a", "b").where("node <> label")
-    best = edges.select(F.col("a").alias("node"), F.when(F.col("similarity") < 1, F.col("similarity")).alias("s")).union(edges.select("b", "similarity")).groupBy("node").agg(F.max("s").alias("similarity"))
-    joined = labels.join(best, "node")
-    return joined.select(F.col("node").alias("doc_id"), F.col("label").alias("keeper_id"), F.round(F.coalesce("similarity", F.lit(1.0)), 6).alias("similarity"))
+    signed = written(signatures(docs, words, idf, bands, rows))
+    reps = signed.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.countDistinct("id").alias("w"), F.min_by("weight", "id").alias("weight"), F.min_by("bands", "id").alias("bands"))
+    reps = written(reps.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "least", "w", "weight", "bands"))
+    of_id = reps.select("id", "h1", "h2", F.col("least").alias("doc"))
+    texts = docs.select(F.col("id").alias("doc"), *text_hash(F.col("text")), "text").join(of_id, ["doc", "h1", "h2"]).select("id", "text").dropDuplicates(["id"])
+    found, home = links(reps.select("id", "weight", F.posexplode("bands").alias("band", "hash")), texts, words, idf, threshold)
+    weights = reps.select("id", "w")
+    ends = found.select(F.col("a").alias("id"), F.col("b").alias("to"), "similarity").union(found.select("b", "a", "similarity"))
+    none, zero = F.lit(None).cast("double"), F.lit(0).cast("bigint")
+    moved = home.where("id <> label")
+    counts = ends.join(weights.withColumnRenamed("id", "to"), "to").select("id", F.col("w").alias("n"), "similarity")
+    counts = counts.union(sure_links(home.join(weights, "id"), STEPS).select("id", "n", none)).union(moved.select("id", zero, "similarity")).union(moved.select("label", zero, "similarity"))
+    counts = counts.groupBy("id").agg(F.sum("n").alias("n"), F.max("similarity").alias("similarity"))
+    # the texts of one id belong together
+    rows = signed.select(F.col("id").alias("doc"), "h1", "h2").distinct().join(reps.select("id", "h1", "h2"), ["h1", "h2"]).select("doc", "id")
+    several = rows.groupBy("doc").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("doc", "a")
+    edges = found.select("a", "b").union(moved.select("id", "label")).union(rows.join(several, "doc").select("a", "id"))
+    labels = written(components(edges, "a", "b"))
+    least = labels.join(reps.select(F.col("id").alias("node"), "least"), "node").groupBy("label").agg(F.min("least").alias("class_id"))
+    classes = labels.join(least, "label").select(F.col("node").alias("id"), "class_id")
+    known = reps.select("id", "least", "w").join(counts, "id", "left").join(classes, "id", "left")
+    known = known.select("id", F.coalesce("class_id", "least").alias("class_id"), (F.coalesce("n", zero) + F.col("w") - 1).alias("n"), F.when(F.col("w") > 1, 1.0).otherwise(F.col("similarity")).alias("similarity")).where("n > 0")
+    out = rows.join(known, "id").groupBy(F.col("doc").alias("id")).agg(F.min("class_id").alias("class_id"), F.sum("n").alias("n_links"), F.round(F.max("similarity"), 6).alias("similarity"))
+    return named(out, names).select(F.col("id").alias("doc_id"), "class_id", "n_links", "similarity")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """`docs`, all columns, with one document of each near-duplicate group.
+    """`docs`, all columns, with the document of the least id of each class.
 
     Of rows that repeat an id and its text, one stays (any, if their other columns differ). Rows without
     an id, and null or wordless texts, stay unless they repeat such a row.
     """
-    dropped = near_duplicates(docs, id_col, text_col, **how).select(F.col("doc_id").alias("id"))
-    rows = packed(docs, id=col(id_col).cast("bigint"), text=col(text_col))
+    dropped = near_duplicates(docs, id_col, text_col, **how).where("doc_id <> class_id").select(F.col("doc_id").alias("id"))
+    rows = packed(docs, id=col(id_col), text=col(text_col))
     rows = rows.select("row", "id", *text_hash(F.col("text"))).join(dropped, "id", "left_anti")
     return rows.dropDuplicates(["id", "h1", "h2"]).select("row.*")
 

@@ -7,7 +7,7 @@ two partial partitions of the greatest imbalance are merged again and again, the
 the emptiest of the other. If a window exceeds the capacity, the group is partitioned anew with one more.
 
 Tokens are runs of non-blanks, unless `token_col` gives a count. Texts without a token, null ones included,
-are in no window. Rows that repeat an id are packed each. A null id is packed as null. Only ids and counts
+are in no window. Rows that repeat an id are packed each. Ids may be of any type that sorts, and a null one is packed as null. Only ids and counts
 are moved; the work of a group doesn't grow with the corpus.
 """
 
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from sparkloom.llm.common import col, written
 from sparkloom.llm.mixing import count_tokens
 
-_SCHEMA = "group_id bigint, window int, n_tokens bigint, doc_ids array<bigint>, starts array<bigint>, ends array<bigint>"
+_SCHEMA = "group_id bigint, window int, n_tokens bigint, doc_ids array<{}>, starts array<bigint>, ends array<bigint>"
 
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
@@ -77,7 +77,7 @@ def pack_group(sizes: list[int], capacity: int) -> list[list[int]]:
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", token_col: str | None = None, capacity: int = 4096, windows_per_group: int = 64, seed: int = 3) -> DataFrame:
     """(group_id, window, n_tokens, doc_ids, starts, ends): each window's pieces, as token ranges of documents."""
     tokens = count_tokens(col(text_col)) if token_col is None else F.coalesce(col(token_col).cast("bigint"), F.lit(0))
-    sized = written(docs.select(col(id_col).cast("bigint").alias("id"), tokens.alias("tokens")).where("tokens > 0"))
+    sized = written(docs.select(col(id_col).alias("id"), tokens.alias("tokens")).where("tokens > 0"))
     total = sized.agg(F.sum("tokens")).first()[0] or 0
     groups = max(1, round(total / (capacity * windows_per_group)))
     pieces = sized.select("id", "tokens", F.explode(F.sequence(F.lit(0), F.col("tokens") - 1, F.lit(capacity))).alias("start"))
@@ -92,7 +92,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", token_
         n = len(parts)
         return pa.table({
             "group_id": pa.array([table["group_id"][0].as_py()] * n, pa.int64()), "window": pa.array(range(n), pa.int32()), "n_tokens": pa.array([sum(sizes[i] for i in p) for p in parts], pa.int64()),
-            "doc_ids": pa.array([[ids[i] for i in p] for p in parts], pa.list_(pa.int64())), "starts": pa.array([[starts[i] for i in p] for p in parts], pa.list_(pa.int64())), "ends": pa.array([[ends[i] for i in p] for p in parts], pa.list_(pa.int64())),
+            "doc_ids": pa.array([[ids[i] for i in p] for p in parts], pa.list_(table.schema.field("id").type)), "starts": pa.array([[starts[i] for i in p] for p in parts], pa.list_(pa.int64())), "ends": pa.array([[ends[i] for i in p] for p in parts], pa.list_(pa.int64())),
         })
 
-    return pieces.groupBy("group_id").applyInArrow(windows, _SCHEMA)
+    return pieces.groupBy("group_id").applyInArrow(windows, _SCHEMA.format(sized.schema["id"].dataType.simpleString()))

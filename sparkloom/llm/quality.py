@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import col, packed
+from sparkloom.llm.common import col, extended, packed
 from sparkloom.llm.textkernel import Words, buffers, slices
 
 _CLASSES = np.zeros((256, 9), dtype=bool)
@@ -90,9 +90,12 @@ class QualityModel:
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_id: str, label_col: str, most: int) -> DataFrame:
-    known = labels.select(col(label_id).cast("bigint").alias("id"), col(label_col).cast("double").alias("y")).where("id is not null and y is not null")
+    # ids of one type stay as they are; of two types, such as bigint and string, both are compared as strings
+    same = docs.schema[id_col].dataType == labels.schema[label_id].dataType
+    known_id, own_id = (x if same else x.cast("string") for x in (col(label_id), col(id_col)))
+    known = labels.select(known_id.alias("id"), col(label_col).cast("double").alias("y")).where("id is not null and y is not null")
     known = known.orderBy(F.xxhash64("id"), "id", "y").limit(most)
-    texts = docs.select(col(id_col).cast("bigint").alias("id"), col(text_col).alias("text"))
+    texts = docs.select(own_id.alias("id"), col(text_col).alias("text"))
     return texts.join(F.broadcast(known), "id").select("id", "y", "text")  # at most `most` rows of 16 bytes
 
 
@@ -108,7 +111,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["id", "y", "stats"])
 
     sample = _labelled(docs, labels, id_col, text_col, label_id, label_col, max_labelled)
-    held = sample.mapInArrow(stats_of, "id bigint, y double, stats array<double>").withColumn("held", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(5)) == 0)
+    held = sample.mapInArrow(stats_of, extended(sample.select("id").schema, "y double, stats array<double>")).withColumn("held", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(5)) == 0)
     held = held.persist()  # at most max_labelled rows of numbers
     try:
         span = [f(F.col("stats")[i]).alias(f"{n}{i}") for i in range(N_STATISTICS) for n, f in (("m", F.avg), ("s", F.stddev_pop))]

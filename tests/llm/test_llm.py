@@ -166,10 +166,48 @@ def _similarity(a, b, idf):
     return least / (sum(v * idf(k) for k, v in a.items()) + sum(v * idf(k) for k, v in b.items()) - least)
 
 
-def test_near_dedup_against_brute_force(spark):
+def _classes(n, pairs):
+    label, changed = list(range(n)), True
+    while changed:
+        changed = False
+        for i, j in pairs:
+            if label[i] != label[j]:
+                label[i] = label[j] = min(label[i], label[j])
+                changed = True
+    return label
+
+
+def _check_links(spark, texts, recall):
+    """Counts of links and classes against those of all pairs, by the weights of `idf_table`."""
+    df = docs_of(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    a, b = np.triu_indices(len(texts), 1)
+    similar = near_dedup.Sets(pa.array(texts), 2, near_dedup.idf_table(df, "text", 2)[0]).similarity(a, b) >= 0.45
+    pairs = list(zip(a[similar].tolist(), b[similar].tolist()))
+    true, label = np.bincount(np.array(pairs).ravel(), minlength=len(texts)), _classes(len(texts), pairs)
+    out = {r["doc_id"]: r for r in near_dedup.near_duplicates(df).collect()}
+    n = np.array([out[i]["n_links"] if i in out else 0 for i in range(len(texts))])
+    assert (n <= true).all() and n.sum() >= recall * true.sum()
+    assert np.mean([(out[i]["class_id"] if i in out else i) == c for i, c in enumerate(label)]) >= recall
+    assert all(label[i] == label[r["class_id"]] for i, r in out.items()), "a class holds documents that no chain of links joins"
+    return pairs, similar
+
+
+def test_similarity_of_sets_is_that_of_the_formula_and_near_exact_tf_idf(spark):
     from collections import Counter
     from math import log
 
+    rng = random.Random(1)
+    texts = [" ".join(rng.choice("abcdefgh") + str(rng.randrange(6)) for _ in range(rng.randint(2, 80))) for _ in range(40)] + ["word", "word"]
+    counts = [Counter(zip(t.split(), t.split()[1:])) or Counter([t]) for t in texts]
+    a, b = np.triu_indices(len(texts), 1)
+    flat = near_dedup.Sets(pa.array(texts), 2, np.ones(1 << near_dedup.DF_BITS, dtype=np.float32)).similarity(a, b)
+    assert flat == pytest.approx([_similarity(counts[i], counts[j], lambda k: 1.0) for i, j in zip(a, b)], abs=1e-6)
+    known = Counter(k for c in counts for k in c)
+    pooled = near_dedup.Sets(pa.array(texts), 2, near_dedup.idf_table(docs_of(spark, [(i, t, "s") for i, t in enumerate(texts)]), "text", 2)[0]).similarity(a, b)
+    assert pooled == pytest.approx([_similarity(counts[i], counts[j], lambda k: log(1 + len(texts) / (known[k] + 1))) for i, j in zip(a, b)], abs=0.02)
+
+
+def test_near_dedup_against_brute_force(spark):
     rng = random.Random(7)
     vocabulary = ["w%d" % i for i in range(400)]
     texts = [[rng.choice(vocabulary) for _ in range(rng.randint(30, 120))] for _ in range(120)]
@@ -179,23 +217,19 @@ def test_near_dedup_against_brute_force(spark):
             for _ in range(edits):
                 t[rng.randrange(len(t))] = rng.choice(vocabulary)
             texts.append(t)
-    sets = [Counter(zip(t, t[1:])) for t in texts]
-    df_count = Counter(k for s in sets for k in s)
-    idf = lambda k: log(1 + len(texts) / (df_count[k] + 1))
-    pairs = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if sets[i].keys() & sets[j].keys() and _similarity(sets[i], sets[j], idf) >= 0.45]
-    out = {r["doc_id"]: r["keeper_id"] for r in near_dedup.near_duplicates(docs_of(spark, [(i, " ".join(t), "s") for i, t in enumerate(texts)])).collect()}
-    same = sum(out.get(i, i) == out.get(j, j) for i, j in pairs)
-    assert same >= 0.97 * len(pairs)
-    parent = list(range(len(texts)))
+    _check_links(spark, [" ".join(t) for t in texts], 0.97)
 
-    def root(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
 
-    for i, j in pairs:
-        parent[max(root(i), root(j))] = min(root(i), root(j))
-    assert all(root(i) == root(k) for i, k in out.items()), "a group holds documents that no chain of similar pairs joins"
+def test_near_dedup_counts_all_links_of_large_groups(spark):
+    """Groups of edited copies far above SMALL, some of whose members are alike to the original only."""
+    rng = random.Random(4)
+    texts = []
+    for size, rates in ((120, (0.02, 0.1)), (90, (0.12, 0.18)), (60, (0.1, 0.3))):
+        text = [rng.choice("abcdefghij") + str(rng.randrange(400)) for _ in range(200)]
+        edited = [[w if rng.random() >= rate else "x%d" % rng.randrange(10**6) for w in text] for rate in (rng.uniform(*rates) for _ in range(size))]
+        texts += [" ".join(t) for t in [edited[0], text, *edited[1:]]]
+    pairs, _ = _check_links(spark, texts + texts[:3], 0.97)
+    assert len(pairs) > 2000
 
 
 def test_icws_collides_as_often_as_sets_are_similar():
@@ -208,38 +242,40 @@ def test_icws_collides_as_often_as_sets_are_similar():
 
 def test_near_dedup_odd_rows(spark):
     df = docs_of(spark, ODD)
-    assert [tuple(r) for r in near_dedup.near_duplicates(df).collect()] == [(5, 4, 1.0)]
+    assert sorted(tuple(r) for r in near_dedup.near_duplicates(df).collect()) == [(4, 4, 1, 1.0), (5, 4, 1, 1.0)]
     kept = near_dedup.keep_one(df)
     assert kept.columns == df.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2", "3", "4", "6", "7", "None"]
     assert near_dedup.near_duplicates(df.where("false")).count() == 0 and near_dedup.keep_one(df.where("false")).count() == 0
 
 
+def test_near_dedup_ids_of_strings_and_of_several_texts(spark):
+    long = " ".join("w%d" % i for i in range(60))
+    rows = [("b", "one two three four"), ("c", "one two three four"), ("c", long), ("d", long + " more"), ("e", "alone here"), (None, long)]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    out = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in near_dedup.near_duplicates(df).collect()}
+    assert out == {"b": ("b", 1), "c": ("b", 2), "d": ("b", 1)}
+    assert sorted(str(r["doc_id"]) for r in near_dedup.keep_one(df).collect()) == ["None", "b", "e"]
+
+
 def test_near_dedup_large_bucket(spark):
     rows = [(i, " ".join("w%d" % j for j in range(40)) + " %d" % i, "s") for i in range(300)]
-    assert near_dedup.near_duplicates(docs_of(spark, rows)).where("keeper_id = 0").count() == 299
+    assert near_dedup.near_duplicates(docs_of(spark, rows)).where("class_id = 0 and n_links = 299").count() == 300
 
 
-def test_near_dedup_large_bucket_led_by_an_edited_copy(spark):
-    rng = random.Random(4)
-    text = [rng.choice("abcdefghij") + str(rng.randrange(400)) for _ in range(200)]
-    edited = lambda rate: " ".join(w if rng.random() >= rate else "x%d" % rng.randrange(10**6) for w in text)
-    rows = [(0, edited(0.12)), (1, " ".join(text))] + [(i, edited(0.16)) for i in range(2, 90)]
-    texts = spark.createDataFrame(rows, "id bigint, text string")
+def test_near_dedup_bucket_of_unlike_texts_loses_no_link(spark):
+    """200 texts in one bucket, most unlike: the few links between them are those of all pairs."""
+    rng = random.Random(6)
+    base = [[rng.choice("abcdef") + str(rng.randrange(900)) for _ in range(60)] for _ in range(160)]
+    copies = [[w if rng.random() > 0.1 else "x" + str(rng.randrange(900)) for w in base[i]] for i in range(40)]
+    texts = [" ".join(t) for t in base + copies]
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
     idf = np.ones(1 << near_dedup.DF_BITS, dtype=np.float32)
-    bands = texts.select(F.lit(0).alias("band"), F.lit(0).cast("bigint").alias("hash"), "id")
-    found = {(r["a"], r["b"]) for r in near_dedup.candidates(bands, texts, 2, idf, 0.45).collect()}
-    pairs = list(itertools.combinations(range(90), 2))
-    similar = near_dedup.similarity_of_pairs(pa.array([rows[i][1] for i, _ in pairs]), pa.array([rows[j][1] for _, j in pairs]), 2, idf)
-    true = {p for p, s in zip(pairs, similar) if s >= 0.45}
-
-    def groups(edges):
-        of = list(range(90))
-        for i, j in edges:
-            of = [of[i] if k == of[j] else k for k in of]
-        return {frozenset(k for k in range(90) if of[k] == g) for g in of}
-
-    assert len(groups(true)) < 10 and (0, 1) in true and len(true) < 150, "most copies are alike to the original only"
-    assert found <= true and groups(found) == groups(true)
+    bands = df.select("id", F.lit(1.0).alias("weight"), F.lit(0).alias("band"), F.lit(0).cast("bigint").alias("hash"))
+    found, _ = near_dedup.links(bands, df, 2, idf, 0.45)
+    sets = near_dedup.Sets(pa.array(texts), 2, idf)
+    a, b = np.triu_indices(200, 1)
+    true = {(i, j) for i, j, s in zip(a.tolist(), b.tolist(), sets.similarity(a, b)) if s >= 0.45}
+    assert len(true) >= 35 and {(r["a"], r["b"]) for r in found.collect()} >= {p for p in true if 0 not in p} and {(r["a"], r["b"]) for r in found.collect()} <= true
 
 
 def test_components(spark):
