@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.functions.scalar import wilson_lower
+from sparkloom.functions.scalar import student_quantile, wilson_lower
 from sparkloom.functions.vectors import as_array
 from sparkloom.operators import aggregates, columns, encode, joins, ordered, sampling
-from sparkloom.plans.registry import SQL, query
+from sparkloom.plans.registry import query
 from sparkloom.sources.tables import table
 
 
@@ -39,12 +39,13 @@ def null_defaults(spark: SparkSession, sf: str) -> DataFrame:
     return columns.null_to_default(both.select("c_custkey", "o_orderkey", "o_totalprice", "o_orderstatus"), {"o_orderkey": -1})
 
 
-@query("select n_nationkey, array_to_string([cast(c_custkey as double), case when c_acctbal > 0 then 1.0 else 0.0 end, coalesce(nullif(c_acctbal, 0), 'nan'::double)], '|') is not null as whole, round(c_acctbal, 2) as last from customer join nation on c_nationkey = n_nationkey")
+@query("select c_custkey, n_nationkey, cast(c_custkey as double) as first, case when c_acctbal > 0 then 1.0::double when c_acctbal <= 0 then 0.0::double else 'nan'::double end as second, case when c_custkey % 5 = 0 then 'nan'::double else round(c_acctbal, 2) end as last from customer join nation on c_nationkey = n_nationkey")
 def assemble_vector(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "customer").join(F.broadcast(table(spark, sf, "nation")), F.expr("c_nationkey = n_nationkey"))  # 25 rows at any scale
-    out = columns.assemble(c.withColumn("rich", F.col("c_acctbal") > 0), ["c_custkey", "rich", "c_acctbal"])
-    v = as_array(out, "features")
-    return out.select("n_nationkey", v.isNotNull().alias("whole"), F.round(F.get(v, F.lit(2)), 2).alias("last"))
+    c = c.withColumn("rich", F.col("c_acctbal") > 0).withColumn("held", F.when(F.col("c_custkey") % 5 != 0, F.col("c_acctbal")))  # nulls become NaN
+    out = columns.assemble(c, ["c_custkey", "rich", "held"])
+    first, second, last = (F.get(as_array(out, "features"), F.lit(i)) for i in range(3))
+    return out.select("c_custkey", "n_nationkey", first.alias("first"), second.alias("second"), F.round(last, 2).alias("last"))
 
 
 def _join(how: str):
@@ -203,13 +204,12 @@ def time_discount(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("user_id", "t", F.round(F.get("v", F.lit(0)), 4).alias("value"), F.round(F.get("v", F.lit(1)), 6).alias("weight"))
 
 
-@query("""with d as (select label, cast(unnest(embedding[1:8]) as double) as x, generate_subscripts(embedding[1:8], 1) - 1 as i from embeddings),
+@query("""with d as (select label, cast(unnest(embedding) as double) as x, generate_subscripts(embedding, 1) - 1 as i from embeddings),
 r as (select *, row_number() over (partition by label, i order by x) as rn, count(*) over (partition by label, i) as n from d)
 select label, cast(i as integer) as i, count(*) as n, round(avg(x), 6) as mean, round(var_samp(x), 6) as var, round(min(x), 6) as lo, round(max(x), 6) as hi, cast(count(*) filter (where x <> 0) as double) as non_zeros,
 round(sum(abs(x)), 5) as l1, round(sqrt(sum(x * x)), 6) as l2, """ + ", ".join(f"round(sum(x * greatest(0, 1 - abs(rn - greatest(1, least(n, n * {p} + 0.5))))), 6) as p{round(100 * p)}" for p in (0.1, 0.5, 0.9)) + " from r group by 1, 2")
 def vector_stats(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "embeddings").select("label", F.slice("embedding", 1, 8).cast("array<double>").alias("v"))
-    return _stats_by_entry(e)
+    return _stats_by_entry(table(spark, sf, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("v")))
 
 
 def _stats_by_entry(e: DataFrame) -> DataFrame:
@@ -220,14 +220,13 @@ def _stats_by_entry(e: DataFrame) -> DataFrame:
     return out.select("label", "i", "n", *[F.round(f"z.v_{n}", d).alias(called.get(n, n)) for n, d in names.items()])
 
 
-@query("""with e as (select vec_id, label, case when vec_id % 7 = 0 then null else cast(embedding[1] as double) end as a, cast(embedding[2] as double) as b from embeddings)
-select vec_id, label, round(coalesce(a, avg(a) over (partition by label), 0), 6) as a, round(b, 6) as b from e""")
+@query("""with d as (select vec_id, label, generate_subscripts(embedding, 1) - 1 as i, cast(unnest(embedding) as double) as x from embeddings),
+e as (select vec_id, label, i, case when (vec_id + i) % 7 = 0 then null else x end as x from d)
+select vec_id, label, cast(i as integer) as i, round(coalesce(x, avg(x) over (partition by label, i), 0), 6) as v from e""")
 def nan_to_mean(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "embeddings")
-    first = F.when(F.col("vec_id") % 7 == 0, float("nan")).otherwise(F.get("embedding", F.lit(0)).cast("double"))
-    v = e.select("vec_id", "label", F.array(first, F.get("embedding", F.lit(1)).cast("double")).alias("v"))
-    out = aggregates.replace_nan_by_mean(v, "v", ["label"])
-    return out.select("vec_id", "label", F.round(F.get("v", F.lit(0)), 6).alias("a"), F.round(F.get("v", F.lit(1)), 6).alias("b"))
+    holes = F.transform(F.col("embedding").cast("array<double>"), lambda x, i: F.when((F.col("vec_id") + i) % 7 == 0, float("nan")).otherwise(x))
+    out = aggregates.replace_nan_by_mean(table(spark, sf, "embeddings").select("vec_id", "label", holes.alias("v")), "v", ["label"])
+    return out.select("vec_id", "label", F.posexplode(as_array(out, "v")).alias("i", "x")).select("vec_id", "label", "i", F.round("x", 6).alias("v"))
 
 
 @query("""with q as (select list_distinct(quantile_cont(o_totalprice, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1])) as s from orders)
@@ -266,12 +265,12 @@ def auto_assemble(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("o_orderkey", F.array_join(F.slice(v, 1, F.size(v) - 1).cast("array<string>"), ",").alias("hot"), F.round(F.element_at(v, -1), 2).alias("price"))
 
 
-@query("""with d as (select vec_id, label, generate_subscripts(embedding[1:4], 1) - 1 as i, cast(unnest(embedding[1:4]) as double) as x from embeddings)
+@query("""with d as (select vec_id, label, generate_subscripts(embedding, 1) - 1 as i, cast(unnest(embedding) as double) as x from embeddings)
 select vec_id, label, 'e' || i as value, round(x, 6) as v from d""")
 def vector_explode(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "embeddings").select("vec_id", "label", F.slice("embedding", 1, 4).cast("array<double>").alias("v"))
-    named = columns.with_metadata(e, "v", [f"e{i}" for i in range(4)])
-    return columns.explode_vectors(named, "value", ["v"]).withColumn("v", F.round("v", 6))
+    e = table(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    longest = e.agg(F.coalesce(F.max(F.size("v")), F.lit(0))).first()[0]
+    return columns.explode_vectors(columns.with_metadata(e, "v", [f"e{i}" for i in range(longest)]), "value", ["v"]).withColumn("v", F.round("v", 6))
 
 
 @query("select vec_id, case label when 0 then 'zero' when 1 then 'one' when 2 then 'two' else cast(label as varchar) end as name from embeddings")
@@ -279,15 +278,15 @@ def name_of_index(spark: SparkSession, sf: str) -> DataFrame:
     return columns.names_of_indices(table(spark, sf, "embeddings").select("vec_id", "label"), "label", ["zero", "one", "two"], "name").drop("label")
 
 
-_T = {1: 12.706204736174694, 2: 4.302652729749462, 3: 3.182446305283708, 4: 2.7764451051977934}
+#: Quantiles of Student's t for up to 60 degrees of freedom (the labels are 10), as DuckDB has none.
+_T = ", ".join(repr(student_quantile(0.975, n)) for n in range(1, 61))
 
 
-@query(f"""with w as (select label as fold, i, avg(x) as weight from (select label, cast(unnest(embedding[1:6]) as double) as x, generate_subscripts(embedding[1:6], 1) - 1 as i from embeddings where label < 5) group by 1, 2),
+@query(f"""with w as (select label as fold, i, avg(x) as weight from (select label, cast(unnest(embedding) as double) as x, generate_subscripts(embedding, 1) - 1 as i from embeddings) group by 1, 2),
 s as (select i, avg(weight) as average, stddev_samp(weight) as deviation, count(*) as n from w group by 1)
-select cast(i as integer) as index, round(average, 6) as average, round(deviation, 6) as deviation, n as count, round(abs(average) / ({_T[4]} * deviation / sqrt(n)), 4) as significance from s""")
+select cast(i as integer) as index, round(average, 6) as average, round(deviation, 6) as deviation, n as count, round(abs(average) / (([{_T}])[n - 1] * deviation / sqrt(n)), 4) as significance from s""")
 def feature_significance(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "embeddings").where("label < 5").select(F.col("label").alias("fold"), F.posexplode(F.slice("embedding", 1, 6).cast("array<double>")).alias("index", "x"))
-    return _significance(e)
+    return _significance(table(spark, sf, "embeddings").select(F.col("label").alias("fold"), F.posexplode(F.col("embedding").cast("array<double>")).alias("index", "x")))
 
 
 def _significance(e: DataFrame) -> DataFrame:
@@ -303,11 +302,11 @@ def group_balance(spark: SparkSession, sf: str) -> DataFrame:
     return aggregates.group_balance(both, ["source"], "quality")
 
 
-@query("""with d as (select vec_id, cast(label as double) as y, cast(unnest(embedding[1:8]) as double) as x, generate_subscripts(embedding[1:8], 1) as i from embeddings),
+@query("""with d as (select vec_id, cast(label as double) as y, cast(unnest(embedding) as double) as x, generate_subscripts(embedding, 1) as i from embeddings),
 s as (select i, sum(x * y) as xy, sum(x) as x, avg(y) as m, count(*) as n from d group by 1)
 select round(max(abs(xy - m * x) / n), 6) as bound from s""")
 def greatest_useful_l1(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "embeddings").select("label", F.slice("embedding", 1, 8).cast("array<double>").alias("v"))
+    e = table(spark, sf, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("v"))
     return aggregates.greatest_useful_l1(e, "v", "label").select(F.round("bound", 6).alias("bound"))
 
 
@@ -326,39 +325,3 @@ def sample_keep_positive(spark: SparkSession, sf: str) -> DataFrame:
 def sample_pairs(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events").select("user_id", F.array("value", F.hour("ts").cast("double")).alias("v"), (F.col("event_type") == "purchase").cast("double").alias("label"))
     return sampling.sample_pairs(e, ["user_id"], "v", "label", item_rate=sampling.item_rate_for(e, ["user_id"], "label", 2000), ranking_power=0.5)
-
-
-# The queries above that take part of the embeddings, over all rows, labels and entries.
-
-
-@query(SQL["vector_stats"].replace("embedding[1:8]", "embedding"))
-def vector_stats_all(spark: SparkSession, sf: str) -> DataFrame:
-    return _stats_by_entry(table(spark, sf, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("v")))
-
-
-@query("""with d as (select vec_id, label, generate_subscripts(embedding, 1) - 1 as i, cast(unnest(embedding) as double) as x from embeddings),
-e as (select vec_id, label, i, case when (vec_id + i) % 7 = 0 then null else x end as x from d)
-select vec_id, label, cast(i as integer) as i, round(coalesce(x, avg(x) over (partition by label, i), 0), 6) as v from e""")
-def nan_to_mean_all(spark: SparkSession, sf: str) -> DataFrame:
-    holes = F.transform(F.col("embedding").cast("array<double>"), lambda x, i: F.when((F.col("vec_id") + i) % 7 == 0, float("nan")).otherwise(x))
-    out = aggregates.replace_nan_by_mean(table(spark, sf, "embeddings").select("vec_id", "label", holes.alias("v")), "v", ["label"])
-    return out.select("vec_id", "label", F.posexplode(as_array(out, "v")).alias("i", "x")).select("vec_id", "label", "i", F.round("x", 6).alias("v"))
-
-
-@query(SQL["vector_explode"].replace("embedding[1:4]", "embedding"))
-def vector_explode_all(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
-    longest = e.agg(F.coalesce(F.max(F.size("v")), F.lit(0))).first()[0]
-    return columns.explode_vectors(columns.with_metadata(e, "v", [f"e{i}" for i in range(longest)]), "value", ["v"]).withColumn("v", F.round("v", 6))
-
-
-@query(SQL["greatest_useful_l1"].replace("embedding[1:8]", "embedding"))
-def greatest_useful_l1_all(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("v"))
-    return aggregates.greatest_useful_l1(e, "v", "label").select(F.round("bound", 6).alias("bound"))
-
-
-#: No SQL: DuckDB has no quantiles of Student's t for any number of labels.
-@query()
-def feature_significance_all(spark: SparkSession, sf: str) -> DataFrame:
-    return _significance(table(spark, sf, "embeddings").select(F.col("label").alias("fold"), F.posexplode(F.col("embedding").cast("array<double>")).alias("index", "x")))

@@ -28,13 +28,11 @@ def url_free(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", text.without_urls(F.col("text")).alias("words"))
 
 
-@query(r"""with t as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as ws from documents),
-g as (select doc_id, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) as gram from t)
-select doc_id, count(*) as n, count(distinct gram) as distinct_grams, min(gram) as first, max(gram) as last from g group by 1""")
+@query(r"""with t as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as ws from documents)
+select doc_id, array_to_string(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])), '|') as grams from t""")
 def ngrams(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").select("doc_id", text.tokens(F.col("text")).alias("ws"))
-    grams = d.select("doc_id", F.explode(text.ngrams(F.col("ws"))).alias("gram"))
-    return grams.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("gram").alias("distinct_grams"), F.min("gram").alias("first"), F.max("gram").alias("last"))
+    return d.select("doc_id", F.array_join(text.ngrams(F.col("ws")), "|").alias("grams"))
 
 
 @query(r"""with t as (select unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) as term, n_chars from documents),
@@ -53,14 +51,15 @@ def document_frequencies(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(r"""with t as (select doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) as term from documents),
-v as (select term from (select term, count(*) as n from t group by 1) order by n desc, term limit 50)
-select doc_id, cast(count(v.term) as double) as counted from documents left join t using (doc_id) left join v on t.term = v.term group by 1""")
+v as (select term, row_number() over (order by n desc, term) as i from (select term, count(*) as n from t group by 1) qualify i <= 50),
+c as (select doc_id, term, count(*) as n from t group by 1, 2)
+select doc_id, string_agg(cast(coalesce(c.n, 0) as double)::varchar, ',' order by i) as counts from (select doc_id from documents) d cross join v left join c using (doc_id, term) group by 1""")
 def count_vectors(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
 
     d = table(spark, sf, "documents").select("doc_id", text.tokens(F.col("text")).alias("ws"))
     out = text.count_vectors(d, "ws", text.fit_vocabulary(d, "ws", 50), "counts")
-    return out.select("doc_id", F.aggregate(vector_to_array("counts"), F.lit(0.0), lambda s, x: s + x).alias("counted"))
+    return out.select("doc_id", F.array_join(vector_to_array("counts").cast("array<string>"), ",").alias("counts"))
 
 
 _MATRIX = projection_matrix(64, 8, 0.5, 7)
