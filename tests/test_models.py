@@ -208,3 +208,60 @@ def test_streaming(spark, tmp_path):
     assert {(r["k"], r["n"]) for r in spark.table("s").collect()} >= {("a", 2), ("b", 1)}
     last = spark.table("e").where("key = 'a'").orderBy(F.desc("step")).first()
     assert spark.table("e").count() == 4 and last["ewma"] == pytest.approx(0.7 * (0.7 * 0.06 + 0.3 * 0.4) + 0.3 * 0.4)
+
+
+def test_fits_by_moments_and_packed_rows(spark, monkeypatch):
+    """Moments and packed rows give the losses and gradients of a pass over plain rows, with missing labels and NaN features; a linear fit needs no more passes for more iterations."""
+    import numpy as np
+
+    from sparkloom.models import linear
+
+    rng = np.random.default_rng(5)
+    data = [([float(v) for v in rng.normal(size=3)], [float(rng.normal()), float(rng.random() < 0.5)]) for _ in range(700)]
+    data += [([float("nan"), 1.0, None], [0.5, 1.0]), ([1.0, 2.0, 3.0], [float("nan"), 0.0]), ([1.0, 2.0, 3.0], [1.0, None]), (None, [1.0, 1.0]), ([1.0, 1.0, 1.0], None)]
+    rows = linear._training(spark.createDataFrame(data, "features array<double>, label array<double>").repartition(3), "features", "label")
+    points = rng.normal(size=(2, 3))
+    for kind in ("linear", "logistic"):
+        want = linear.losses_and_gradients(rows, points, [0, 1], kind)
+        packed = linear.losses_and_gradients(linear._Packed(linear.packed_rows(rows, 3, 2), 3, 2), points, [0, 1], kind)
+        assert np.allclose(packed[0], want[0], rtol=1e-12) and np.allclose(packed[1], want[1], rtol=1e-10)
+        if kind == "linear":
+            moments = linear._from_moments(linear._moments(rows, 3, 2), points, [0, 1])
+            assert np.allclose(moments[0], want[0], rtol=1e-12) and np.allclose(moments[1], want[1], rtol=1e-10)
+    df = spark.createDataFrame([(v, y[0]) for v, y in data[:300]], "features array<double>, label double")
+    by_moments = linear.fit_lbfgs(df, max_iter=20, l2=0.1, l1=0.1).coefficients
+    passes = []
+    plain = linear._summed
+    monkeypatch.setattr(linear, "_summed", lambda parts: passes.append(1) or plain(parts))
+    linear.fit_lbfgs(df, max_iter=20)
+    assert len(passes) == 1
+    monkeypatch.setattr(linear, "MOMENTS", 0)
+    assert np.allclose(linear.fit_lbfgs(df, max_iter=20, l2=0.1, l1=0.1).coefficients, by_moments, atol=1e-7)
+
+
+def test_scores_without_higher_order_functions(spark):
+    from sparkloom.functions.vectors import dot, literal
+    from sparkloom.models.linear import LinearModel
+
+    m = LinearModel.of([0.5, -2.0, 0.1], 0.3)
+    df = spark.createDataFrame([([1.0, 2.0, 3.0],), ([1.0, None, 3.0],), ([1.0],), ([1.0, 2.0, 3.0, 4.0],), ([],), (None,), ([float("nan"), 1.0, 1.0],)], "features array<double>")
+    out = m.transform(df).withColumn("w", dot(literal(m.coefficients), F.col("features")) + F.lit(0.3))
+    assert all(repr(r["prediction"]) == repr(r["w"]) for r in out.collect())
+    assert "lambda" not in out.drop("w")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_boosted_trees_read_small_partitions(spark, tmp_path):
+    """A frame that is few partitions is cut for the trees by the size of its files; small ones stay as they are."""
+    from sparkloom.models import wrapped
+
+    spark.range(40_000).selectExpr("array(rand(1), rand(2), rand(3)) as features", "double(id % 2) as label", "uuid() as other").coalesce(1).write.parquet(str(tmp_path / "t"))
+    df = wrapped.dense(spark.read.parquet(str(tmp_path / "t")).coalesce(1), "features")
+    assert wrapped._small_partitions(df.coalesce(1), ["features", "label"]).columns == df.columns or wrapped.partitions_for(df) > 1
+    monkey = wrapped.partitions_for
+    try:
+        wrapped.partitions_for = lambda d: 5
+        cut = wrapped._small_partitions(df, ["features", "label"])
+        assert cut.columns == ["features", "label"] and cut.rdd.getNumPartitions() == 5 and cut.count() == 40_000
+    finally:
+        wrapped.partitions_for = monkey
+    assert monkey(df, 1) >= 2 and monkey(df, 1000) == 1
