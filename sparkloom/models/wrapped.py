@@ -9,9 +9,10 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.functions.vectors import INTERCEPT, as_array, attribute_names, is_vector
+from sparkloom.functions.vectors import INTERCEPT, as_array, attribute_names, col, is_vector
 from sparkloom.models.base import LOSS, SIGNIFICANCE, TREES, WEIGHTS, Model
 from sparkloom.models.linear import LinearModel
+from sparkloom.operators.pieces import partitions_for
 
 
 class SparkModel(Model):
@@ -89,13 +90,19 @@ def _trees(native: Any, df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame([(i, t.toDebugString) for i, t in enumerate(native.trees)], "treeIndex int, tree string")
 
 
+def _small_partitions(df: DataFrame, used: list[str]) -> DataFrame:
+    """The columns used, in partitions that don't grow with the frame: trees keep each as objects, many times the size of its file."""
+    n = partitions_for(df)
+    return df.select(*[col(c) for c in df.columns if c in used]).repartition(n) if n > df._jdf.rdd().getNumPartitions() else df
+
+
 def fit_random_forest(df: DataFrame, features_col: str = "features", label_col: str = "label", regression: bool = False, **params: Any) -> SparkModel:
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.regression import RandomForestRegressor
 
     kind = RandomForestRegressor if regression else RandomForestClassifier
     ready = dense(df, features_col)
-    native = kind(featuresCol=features_col, labelCol=label_col, **params).fit(ready)
+    native = kind(featuresCol=features_col, labelCol=label_col, **params).fit(_small_partitions(ready, [features_col, label_col, *map(str, params.values())]))
     return SparkModel.of(native, {SIGNIFICANCE: _importances(native, df, features_col), TREES: _trees(native, df)}, features_col=features_col)
 
 
@@ -106,7 +113,7 @@ def fit_boosted_trees(df: DataFrame, features_col: str = "features", label_col:
 
     kind = GBTRegressor if regression else GBTClassifier
     ready = dense(df, features_col)
-    native = kind(featuresCol=features_col, labelCol=label_col, **params).fit(ready)
+    native = kind(featuresCol=features_col, labelCol=label_col, **params).fit(_small_partitions(ready, [features_col, label_col, *map(str, params.values())]))
     losses = native.evaluateEachIteration(ready, "squared") if regression else native.evaluateEachIteration(ready)
     history = df.sparkSession.createDataFrame([(i, float(v)) for i, v in enumerate(losses)], "iteration int, loss double")
     return SparkModel.of(native, {LOSS: history, SIGNIFICANCE: _importances(native, df, features_col), TREES: _trees(native, df)}, features_col=features_col)
