@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.vectors import as_array, col, is_numeric_array, is_vector
+from sparkloom.operators.pieces import spread
 
 
 @dataclass(frozen=True)
@@ -102,6 +103,7 @@ def ranking_metrics(df: DataFrame, keys: Sequence[str], metrics: Sequence[str] |
             rows = rows.withColumn(f"__{out}", col(name).cast("double"))
     rows = rows.where("__score is not null and __label is not null and not isnan(__score) and not isnan(__label)")
     parts = [col(k) for k in keys] + [F.col(i) for i, _ in extra]
+    rows = spread(rows, parts)
     w = Window.partitionBy(*parts)
     ties = [col(c) for c in tiebreak]
     by_score = w.orderBy(F.desc("__score"), F.desc("__label"), *ties)

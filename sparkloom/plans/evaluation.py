@@ -9,6 +9,7 @@ from sparkloom.metrics.binary import auc, binary_metrics
 from sparkloom.metrics.ranking import CountIf, ranking_metrics
 from sparkloom.metrics.regression import regression_metrics
 from sparkloom.metrics.wrappers import empty_evaluation, train_test
+from sparkloom.operators.pieces import spread
 from sparkloom.plans.registry import query
 from sparkloom.sources.tables import table
 
@@ -16,7 +17,7 @@ from sparkloom.sources.tables import table
 def _ranked(spark: SparkSession, sf: str) -> DataFrame:
     """Line items by customer: score = discount * 10, label = returned or not."""
     items = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", (F.col("l_discount") * 10).alias("score"), (F.col("l_returnflag") == "R").cast("double").alias("label"))
-    return items.join(table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    return spread(items, [F.col("l_orderkey")]).join(table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
 
 
 _RANKED = """with i as (select o_custkey, l_orderkey, l_linenumber, l_returnflag, l_discount * 10 as score, case when l_returnflag = 'R' then 1.0 else 0.0 end as label, l_partkey, l_suppkey from lineitem join orders on l_orderkey = o_orderkey),

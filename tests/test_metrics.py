@@ -78,3 +78,17 @@ def test_regression(spark):
         assert ours[name] == pytest.approx(RegressionEvaluator(metricName=theirs).evaluate(clean))
     assert train_test(regression_metrics)(df).count() == 10
     assert regression_metrics(df.where("false")).count() == 0 and empty_evaluation(spark).first()["meaningless"] == 1
+
+
+def test_ranking_spreads_large_tables(spark, tmp_path, monkeypatch):
+    """Groups go to partitions by the size of the files once those are more than the session's number; the metrics stay."""
+    from sparkloom.metrics import ranking
+    from sparkloom.operators import pieces
+
+    spark.range(30_000).selectExpr("id", "id % 700 as k", "rand(3) as score", "double(id % 3 = 0) as label").coalesce(1).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    plain = {r["k"]: (r["auc"], r["n"]) for r in ranking.ranking_metrics(df, ["k"], {"auc": "auc", "n": "ndcg@5"}, tiebreak=["id"]).collect()}
+    monkeypatch.setattr(pieces, "partitions_for", lambda d, megabytes=4: 9)
+    out = ranking.ranking_metrics(df, ["k"], {"auc": "auc", "n": "ndcg@5"}, tiebreak=["id"])
+    assert "hashpartitioning(k" in out._jdf.queryExecution().executedPlan().toString() and "9), REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
+    assert {r["k"]: (r["auc"], r["n"]) for r in out.collect()} == plain and len(plain) == 700
